@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, secret_scan, sentencepiece_codec
+from . import chat, langid, mixing, quality, secret_scan, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_warc": warc.op2_warc,
+    "op3_language_id": langid.op3_language_id,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.oracle(),
     "op9_secret_scan": secret_scan.oracle(),
     "op10_chat_formatting": chat.oracle(),
 }
