@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,11 @@ MATRIX_CHARS = 48
 CACHE_WORDS = 400_000
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row for each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
 class Codec:
     """One model's tables. `kind` is 'unigram' or 'bpe', as the model says unless it is given."""
 
@@ -78,7 +84,7 @@ class Codec:
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([model.pieces[i].score for i in normal], np.float64)[order]
         self.unk_score = (self.scores.min() if len(normal) else 0.0) - 10.0
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
     # Hashes of substrings -------------------------------------------------------------------
     @staticmethod
@@ -122,7 +128,7 @@ class Codec:
     def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
         """Best paths of words of one length, which advance together."""
         width = len(words[0])
-        prefix = self._prefix(np.array([[ord(c) for c in w] for w in words], np.uint64))
+        prefix = self._prefix(_codes(words))
         best = np.full((len(words), width + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((len(words), width + 1), np.int64)
@@ -149,7 +155,7 @@ class Codec:
     def merges(self, words: list[str]) -> list[tuple[int, ...]]:
         """BPE of words of one length: each round merges the best adjacent pair of every word."""
         n, width = len(words), len(words[0])
-        prefix = self._prefix(np.array([[ord(c) for c in w] for w in words], np.uint64))
+        prefix = self._prefix(_codes(words))
         powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(width + 1)], np.uint64)
         rows = np.arange(n)
         # Symbol borders: next_border[i, a] is the end of the symbol that starts at a.
@@ -170,9 +176,9 @@ class Codec:
             return out
 
         gains = np.full((n, width), -np.inf)
-        if width > 1:
-            r = np.repeat(rows, width)
-            gains[:] = gain(r, np.tile(np.arange(width), n)).reshape(n, width)
+        for a in range(width - 1):
+            at, there = self._probe(self._hash(prefix, a, a + 2))
+            gains[:, a] = np.where(there, self.scores[at], -np.inf)
         live = rows
         while len(live):
             at = gains[live].argmax(axis=1)
@@ -232,21 +238,31 @@ class Codec:
     def _path_long(self, word: str) -> tuple[int, ...]:
         return self.viterbi([word])[0]
 
-    def words(self, words: list[str]) -> None:
-        """Fills the cache for words that are not in it."""
+    def words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each of the (distinct) words."""
         by_len: dict[int, list[str]] = {}
         for w in words:
             by_len.setdefault(len(w), []).append(w)
+        out: dict[str, tuple[int, ...]] = {}
         for n, group in by_len.items():
             if n > MATRIX_CHARS:
-                for w in group:
-                    self.cache[w] = self._merge_long(w) if self.kind == "bpe" else self._path_long(w)
+                out.update((w, self._merge_long(w) if self.kind == "bpe" else self._path_long(w)) for w in group)
                 continue
             together = self.merges if self.kind == "bpe" else self.viterbi
             step = max(1, 400_000 // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                self.cache.update(zip(part, together(part)))
+                out.update(zip(part, together(part)))
+        return [out[w] for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words to the cache: `cache` has a word's number, `_size` and `_first` its ids' place in `_flat`."""
+        ids = self.words(new)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
+        self._first = np.concatenate([self._first, len(self._flat) + np.cumsum(sizes) - sizes])
+        self._size = np.concatenate([self._size, sizes])
+        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
 
     # Texts --------------------------------------------------------------------------------------
     def normalize(self, text: str) -> str:
@@ -255,21 +271,30 @@ class Codec:
         text = text.replace(" ", SPACE)
         return SPACE + text if self.dummy and text else text
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, and where each text's begin (one more entry ends the last)."""
         split = [_WORDS.findall(self.normalize(t)) for t in texts]
-        missing = {w for ws in split for w in ws} - self.cache.keys()
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = {w for ws in split for w in ws}
-        self.words(list(missing))
-        cache = self.cache
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += cache[w]
-            out.append(np.array(ids, np.int32))
-        return out
+        kinds = {w for ws in split for w in ws}
+        new = list(kinds.difference(self.cache))
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = list(kinds)
+        if new:
+            self._learn(new)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        sizes = self._size[word]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._flat[np.repeat(self._first[word] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+    def forget(self) -> None:
+        self.cache: dict[str, int] = {}
+        self._flat, self._first, self._size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        ids, at = self.encode_flat(texts)
+        return np.split(ids, at[1:-1]) if texts else []
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -349,17 +374,15 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
             for s in slices(sizes, BATCH_CHARS):
                 part = batch.slice(s.start, s.stop - s.start)
                 raw = texts.slice(s.start, s.stop - s.start).to_pylist()
-                ids = iter(c.encode_batch([t for t in raw if t is not None]))
-                rows = [None if t is None else next(ids) for t in raw]
-                sizes_in = np.array([0 if r is None else len(r) for r in rows], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes_in)]).astype(np.int32)
-                values = np.concatenate([r for r in rows if r is not None and len(r)]) if offsets[-1] else np.zeros(0, np.int32)
-                nulls = np.array([r is None for r in rows])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(nulls)) if nulls.any() else pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+                values, at = c.encode_flat([t or "" for t in raw])
+                nulls = np.array([t is None for t in raw])
+                mask = {"mask": pa.array(nulls)} if nulls.any() else {}
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, pa.int32()), **mask)
                 columns = [part.column(part.schema.get_field_index(k)) for k in keep]
-                columns += [lists, pa.array([None if r is None else len(r) for r in rows], pa.int64())]
+                columns += [lists, pa.array(np.diff(at), pa.int64(), mask=nulls)]
                 if decode_too:
-                    columns.append(pa.array([None if r is None else c.decode(r.tolist()) for r in rows], pa.string()))
+                    whole, at = values.tolist(), at.tolist()
+                    columns.append(pa.array([None if t is None else c.decode(whole[x:y]) for t, x, y in zip(raw, at, at[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return base.mapInArrow(run, schema)
