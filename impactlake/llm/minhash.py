@@ -9,9 +9,9 @@ once they pass the last slot's value.
 
 Signatures are cut into bands. In each bucket of a band, members are paired with the bucket's least member
 and, in some bands, with their neighbour in a random order; pairs that the multisets verify give
-components. Buckets that still hold several components are then compared in full by signature, and their
-pairs that may be similar are verified too, so that no link found by a band is lost while pairs inside
-a component are not listed.
+components. Buckets that still hold several components are then compared in full by signature: texts that may
+be similar form families, whose members are compared exactly, tile by tile. So no link found by a band is
+lost, and only spanning forests leave the tasks.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ CHAINED = 4
 #: Share of equal slots from which a pair may be similar: five standard deviations below the threshold.
 MAYBE = 0.62
 PACK = 1000
+#: Texts of a tile of a large family.
+TILE = 128
 
 
 def shingle_counts(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,29 +148,92 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def maybe_pairs(members: DataFrame, least: float = MAYBE) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose signatures agree in at least that share of slots; members: bk, th, comp, sig."""
+def _forest(n: int, near) -> np.ndarray:
+    """Smallest row that each of n rows reaches; near(i) gives the rows after i that are near it."""
+    label = np.arange(n)
+    for i in range(n):
+        others = near(i)
+        if len(others):
+            met = np.unique(label[np.append(others, i)])
+            label[np.isin(label, met[1:])] = met[0]
+    return label
+
+
+def maybe_edges(members: DataFrame, least: float = MAYBE) -> DataFrame:
+    """Edges (a, b), a spanning forest for each bucket, of texts whose signatures agree in at least that share of slots; members: bk, th, sig.
+
+    All members of a bucket are compared, but only the forest leaves the task.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["bk"].to_numpy(), kind="stable")
-        t = t.take(order)
+        t = t.take(np.argsort(t["bk"].to_numpy(), kind="stable"))
         bk = t["bk"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(bk), -1)
-        th, comp = t["th"].to_pylist(), np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
+        th = t["th"].to_pylist()
         border = np.flatnonzero(np.diff(bk, prepend=bk[0] + 1, append=bk[-1] + 1))
         out: set[tuple] = set()
         for a, b in zip(border, border[1:], strict=False):
-            for i in range(a, b):
-                other = i + 1 + np.flatnonzero(comp[i + 1 : b] != comp[i])
-                if len(other):
-                    same = (sig[other] == sig[i]).mean(axis=1)
-                    out.update((min(th[i], th[j]), max(th[i], th[j])) for j in other[same >= least].tolist())
+            own = sig[a:b]
+            label = _forest(b - a, lambda i, own=own: i + 1 + np.flatnonzero((own[i + 1 :] == own[i]).mean(axis=1) >= least))
+            out.update((th[a + label[i]], th[a + i]) for i in np.flatnonzero(label != np.arange(b - a)).tolist())
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     sizes = members.groupBy("bk").agg(F.count("*").alias("m"))
     packs = F.pmod(F.hash("bk"), F.lit(max(1, -(-members.count() // PACK))))
-    placed = members.join(sizes, "bk").withColumn("pack", F.when(F.col("m") > PACK, F.col("bk")).otherwise(packs.cast("long"))).withColumn("alone", F.col("m") > PACK)
-    return placed.select("pack", "alone", "bk", "th", "comp", "sig").groupBy("pack", "alone").applyInArrow(run, "a binary, b binary").distinct()
+    placed = members.join(sizes, "bk").withColumn("alone", F.col("m") > PACK).withColumn("pack", F.when(F.col("alone"), F.col("bk")).otherwise(packs.cast("long")))
+    return placed.select("pack", "alone", "bk", "th", "sig").groupBy("pack", "alone").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def overlaps(texts: list[str]) -> np.ndarray:
+    """Weighted Jaccard similarity of each two of the texts."""
+    doc, h, n = shingle_counts(texts)
+    each = np.repeat(np.arange(len(h)), n)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    element, doc_of = mix64(h[each] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), doc[each]
+    _, column, df = np.unique(element, return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    column = np.unique(column[shared], return_inverse=True)[1]
+    row = doc_of[shared]
+    common = np.zeros((len(texts), len(texts)))
+    step = 8192
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (k, k + step))
+        m = np.zeros((len(texts), step), np.float32)
+        m[row[a:b], column[a:b] - k] = 1
+        common += m @ m.T
+    total = np.bincount(doc, n, len(texts))
+    return common / np.maximum(total[:, None] + total[None, :] - common, 1)
+
+
+def exact_edges(members: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b), a spanning forest for each two tiles, of texts of one family (fam) and different components that verify.
+
+    Families of up to TILE texts share tasks; larger ones are cut into tiles, and each two tiles meet in one group.
+    """
+    sizes = members.groupBy("fam").agg(F.count("*").alias("m"))
+    small = sizes.where(F.col("m") <= TILE).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("s")).first()["s"]
+    placed = members.join(sizes, "fam").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.hash("th"), F.col("tiles"))).otherwise(0))
+    pack = F.when(F.col("tiles") > 1, F.col("fam")).otherwise(F.unhex(F.lpad(F.hex(F.pmod(F.hash("fam"), F.lit(max(1, -(-int(small) // TILE))))), 8, "0")))
+    rows = placed.select(pack.alias("pack"), "fam", "th", "comp", "text", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("pack", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "fam", "th", "comp", "text")
+
+    def run(t: pa.Table) -> pa.Table:
+        fam, th, comp, texts = (t[c].to_pylist() for c in ("fam", "th", "comp", "text"))
+        fam, comp = np.unique(np.array(fam, object), return_inverse=True)[1], np.unique(np.array(comp, object), return_inverse=True)[1]
+        a, b = [], []
+        for f in np.unique(fam):
+            own = np.flatnonzero(fam == f)
+            near = overlaps([texts[i] for i in own]) >= threshold - 1e-12
+            near &= comp[own][:, None] != comp[own][None, :]
+            label = _forest(len(own), lambda i, near=near: i + 1 + np.flatnonzero(near[i, i + 1 :]))
+            for i in np.flatnonzero(label != np.arange(len(own))):
+                a.append(th[own[label[i]]])
+                b.append(th[own[i]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("pack", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = False) -> DataFrame:
@@ -200,8 +265,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = Fals
     comp = F.coalesce("root", "th")
     labelled = buckets.select("bk", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("bk", "th", comp.alias("comp"))
     split = labelled.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bk")
-    open_members = cut(labelled.join(split, "bk").join(nodes.select("th", "sig"), "th"))
-    more = cut(verified(maybe_pairs(open_members), texts, threshold))
+    open_members = labelled.join(split, "bk").join(nodes.select("th", "sig"), "th").select("bk", "th", "sig")
+    families = cut(components(maybe_edges(cut(open_members))))
+    placed = families.select(F.col("node").alias("th"), F.col("root").alias("fam")).join(roots.withColumnRenamed("node", "th"), "th", "left").select("th", "fam", comp.alias("comp"))
+    mixed = placed.groupBy("fam").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("fam")
+    more = cut(exact_edges(placed.join(mixed, "fam").join(texts, "th"), threshold))
     if not more.isEmpty():
         roots = cut(components(edges.union(more)))
     known = nodes.select("th", "first_id").join(roots.withColumnRenamed("node", "th"), "th", "left").select("th", "first_id", comp.alias("comp"))
