@@ -85,6 +85,8 @@ def fit(tf: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model:
     """A model from bucket counts and their languages."""
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(idf, np.zeros((0, tf.shape[1]), np.float32), [], np.zeros(0))
+    if not langs:
+        return model
     v, labels = model.vectors(tf), np.array(langs, object)
     for lang in sorted(set(langs)):
         own = _kmeans(v[labels == lang], clusters)
