@@ -62,21 +62,20 @@ def typed_parameters(signature: str, type_names) -> dict[str, tuple[int, str, in
     return out
 
 
-def templates(f: Function, type_names) -> list[tuple]:
-    """(parameter, path, kind, typed name) of members that the function touches through its parameters, once each."""
+def templates(f: Function) -> list[dict]:
+    """Members that the function touches through its parameters, once each: parameter, path, access and the words before the parameter's name."""
     bound = {}
-    typed = typed_parameters(f.signature, type_names)
     for i, p in enumerate(parameters(f.signature)):
         names = _NAME.findall(p.split("[")[0])
         if len(names) > 1 and names[-1] not in KEYWORDS:
-            bound[names[-1]] = i
-    seen: dict[tuple, tuple] = {}
+            bound[names[-1]] = i, names[:-1]
+    seen: dict[tuple, dict] = {}
     for _, _, line in f.body if bound else ():
         for m in members(line):
             if m.owner in bound:
+                i, before = bound[m.owner]
                 kind, _ = classify(line, m.text)
-                named = f"{typed[m.owner][1]}::{'.'.join(m.path)}" if m.owner in typed else None
-                seen.setdefault((bound[m.owner], m.path, kind), (bound[m.owner], m.path, kind, named))
+                seen.setdefault((i, m.path, kind), {"parameter": i, "path": list(m.path), "access": kind, "words": before})
     return list(seen.values())
 
 

@@ -23,6 +23,15 @@ FACT = (
     "kind string, function_name string, seq int, variable_name string, target_name string, target_kind string, access string, file string, line int, evidence string, "
     "expanded_evidence string, reasons array<string>, access_expression string, macro_names array<string>"
 )
+#: Bytes of declarations, and of headers' directives, up to which they are broadcast. Beyond, each file is joined with what it names.
+BROADCAST_BYTES = 64 << 20
+#: Rounds in which declarations bring in what they name themselves; aliases and member types nest less deeply.
+NAMING_ROUNDS = 8
+_NAMES = r"[A-Za-z_][A-Za-z0-9_]*"
+
+
+def _base(path: str) -> str:
+    return path.replace("\\", "/").split("/")[-1].lower()
 
 
 def _lines(text: str, macros: dict[str, str], headers: dict[str, str]) -> tuple[list[str], list[str]]:
@@ -30,37 +39,85 @@ def _lines(text: str, macros: dict[str, str], headers: dict[str, str]) -> tuple[
     cache: dict[str, tuple] = {}
 
     def load(name: str, quoted: bool):
-        key = name.replace("\\", "/").split("/")[-1].lower()
+        key = _base(name)
         if key not in cache and key in headers:
-            own = lexer.split_lines(headers[key])
-            cache[key] = key, own, lexer.mask(own)
+            own = headers[key].split("\n")
+            cache[key] = key, own, own
         return cache.get(key)
 
     return raw, preprocess.active_lines(raw, lexer.mask(raw), dict(macros), load)
 
 
+def directives(files: DataFrame) -> DataFrame:
+    """key, lines, names for each header: its base name, its directives (comments blank), and the base names it includes; the first file of a name wins."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, ordinal, text in zip(batch["path"], batch["ordinal"], batch["text"]):
+                raw = lexer.split_lines(text or "")
+                kept = [r if "include" in m else m for r, m in zip(raw, lexer.mask(raw)) if m.lstrip().startswith("#")]
+                rows.append((_base(path), ordinal, path, "\n".join(kept), [_base(n) for n, _ in preprocess.includes(kept, kept)]))
+            yield pd.DataFrame(rows, columns=["key", "ordinal", "path", "lines", "names"])
+
+    headers = files.where(F.lower("path").rlike(r"\.(h|hh|hpp|hxx|inl)$")).select("path", "ordinal", "text")
+    found = headers.mapInPandas(run, "key string, ordinal long, path string, lines string, names array<string>")
+    return impact.keep_first(found, ["key"], ["ordinal", "path"]).select("key", "lines", "names")
+
+
+def with_headers(files: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, dict[str, str]]:
+    """The files, and the directives of all headers where they are small; else the files have what they include in a map column, headers."""
+    from .graph import cut
+
+    found = cut(directives(files))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("lines")), F.lit(0)).alias("n")).first()["n"]
+    if size <= most:
+        return files, {r["key"]: r["lines"] for r in found.select("key", "lines").collect()}
+    named = F.regexp_extract_all("text", F.lit(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)"), F.lit(1))
+    base = F.explode(F.transform(named, lambda n: F.lower(F.substring_index(F.replace(n, F.lit("\\"), F.lit("/")), "/", -1))))
+    need = cut(files.select("path", base.alias("key")).distinct().join(found.select("key"), "key", "left_semi"))
+    front = need
+    while not front.isEmpty():
+        further = front.join(found, "key").select("path", F.explode("names").alias("key")).distinct().join(found.select("key"), "key", "left_semi")
+        front = cut(further.join(need, ["path", "key"], "left_anti"))
+        need = cut(need.unionByName(front))
+    own = need.join(found, "key").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "lines"))).alias("headers"))
+    return files.join(own, "path", "left"), {}
+
+
+def _headers_of(batch: pd.DataFrame, shared: dict[str, str]):
+    """Each row's headers: its own, where the files carry them."""
+    own = batch["headers"] if "headers" in batch else [None] * len(batch)
+    return [dict(h) if h is not None else shared for h in own]
+
+
+def _carried(files: DataFrame, *columns: str) -> DataFrame:
+    return files.select(*columns, *(c for c in ("headers", "context") if c in files.columns))
+
+
 def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str]) -> DataFrame:
     """Rows of DECLARED for files (path, ordinal, text); a file that fails gives one row that says why."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers))
 
     def run(batches):
-        own_macros, own_headers = sent.value
+        own_macros, shared = sent.value
         for batch in batches:
             rows = []
-            for path, ordinal, text in zip(batch["path"], batch["ordinal"], batch["text"]):
+            for path, ordinal, text, own_headers in zip(batch["path"], batch["ordinal"], batch["text"], _headers_of(batch, shared)):
                 try:
                     raw, active = _lines(text or "", own_macros, own_headers)
                     found = declarations.functions(raw, active)
                     parts = [("macro", d) for d in declarations.macros(raw, active)] + [("type", d) for d in declarations.types(raw, active)]
                     parts += [("global", d) for d in declarations.globals_(active, [(f.start_line, f.end_line) for f in found])]
                     parts += [("function", {"name": f.name, "line": f.start_line, "end_line": f.end_line, "signature": f.signature}) for f in found]
+                    parts += [("template", {"name": f.name, "line": f.start_line, **t}) for f in found for t in accesses.templates(f)]
                     parts += [("include", {"name": n, "line": 0, "quoted": q}) for n, q in preprocess.includes(raw, active)]
                     rows += [(path, ordinal, kind, d["name"], d["line"], json.dumps(d), None) for kind, d in parts]
                 except Exception as e:  # noqa: BLE001  one bad file is told, the others go on
                     rows.append((path, ordinal, "skipped", None, 0, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "name", "line", "body", "skipped"])
 
-    return files.select("path", "ordinal", "text").mapInPandas(run, DECLARED)
+    return _carried(files, "path", "ordinal", "text").mapInPandas(run, DECLARED)
 
 
 def aliases_of(macros: list[dict], globals_: set[str], types: dict[str, dict]) -> dict[str, dict]:
@@ -89,13 +146,11 @@ def aliases_of(macros: list[dict], globals_: set[str], types: dict[str, dict]) -
     return out
 
 
-def context_of(declared: DataFrame, files: DataFrame, macros: dict[str, str], headers: dict[str, str]) -> accesses.Context:
-    """What all files declare; first declarations win, in file order and then by line."""
-    rows = declared.where(F.col("kind").isin("macro", "type", "global", "function")).select("kind", "ordinal", "line", "body").collect()
-    rows.sort(key=lambda r: (r["ordinal"], r["line"]))
-    by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": []}
-    for r in rows:
-        by[r["kind"]].append(json.loads(r["body"]))
+def context_from(rows) -> accesses.Context:
+    """A context from declarations (kind, ordinal, line, body); the first of a name wins, in file order and then by line."""
+    by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": [], "template": []}
+    for kind, _, _, body in sorted(rows, key=lambda r: (r[1], r[2], r[0], r[3])):
+        by[kind].append(json.loads(body))
     types: dict[str, dict] = {}
     for t in by["type"]:
         for n in [t["name"], *t["aliases"]]:
@@ -108,40 +163,53 @@ def context_of(declared: DataFrame, files: DataFrame, macros: dict[str, str], he
         full = simple.setdefault(f["name"].split("::")[-1], [])
         full += [f["name"]] if f["name"] not in full else []
     ctx = accesses.Context(set(first), first, types, simple, {}, aliases_of(by["macro"], set(first), types))
-    names = ctx.type_names
-    sent = files.sparkSession.sparkContext.broadcast((macros, headers, names))
-
-    def run(batches):
-        own_macros, own_headers, known = sent.value
-        for batch in batches:
-            rows = []
-            for ordinal, text in zip(batch["ordinal"], batch["text"]):
-                raw, active = _lines(text or "", own_macros, own_headers)
-                for f in declarations.functions(raw, active):
-                    rows += [(ordinal, f.name, i, list(p), k, n) for i, p, k, n in accesses.templates(f, known)]
-            yield pd.DataFrame(rows, columns=["ordinal", "name", "parameter", "path", "access", "typed"])
-
-    if names or ctx.globals:
-        got = files.select("ordinal", "text").where(F.contains("text", F.lit("->")) | F.contains("text", F.lit("."))).mapInPandas(run, "ordinal long, name string, parameter int, path array<string>, access string, typed string").collect()
-        for r in sorted(got, key=lambda r: r["ordinal"]):
-            t = (r["parameter"], tuple(r["path"]), r["access"], r["typed"])
-            own = ctx.templates.setdefault(r["name"], [])
-            own += [t] if t not in own else []
+    for t in by["template"]:
+        known = next((n for n in ctx.type_names if n in t["words"]), None)
+        row = (t["parameter"], tuple(t["path"]), t["access"], f"{known}::{'.'.join(t['path'])}" if known else None)
+        own = ctx.templates.setdefault(t["name"], [])
+        own += [row] if row not in own else []
     return ctx
 
 
-def walk(files: DataFrame, ctx: accesses.Context, macros: dict[str, str], headers: dict[str, str]) -> DataFrame:
-    """Rows of FACT: accesses, calls and unresolved evidence of every function."""
+def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """The files with a column, context, of the declarations that each names, and of those that these name in turn.
+
+    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, round by round.
+    """
+    from .graph import cut
+
+    own = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template"))
+    entry = F.struct("kind", "ordinal", "line", "body")
+    inner = F.from_json("body", "aliases array<string>, members array<struct<name:string>>")
+    names = F.array_distinct(F.concat(F.array(F.substring_index("name", "::", -1), F.col("name")), F.coalesce(inner["aliases"], F.array().cast("array<string>")), F.coalesce(inner["members"]["name"], F.array().cast("array<string>"))))
+    keyed = cut(own.select(F.explode(names).alias("key"), entry.alias("entry"), F.xxhash64("kind", "path", "line", "body").alias("id")).distinct())
+    need = cut(files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0)))).alias("key")).join(keyed, "key").select("path", "id", "entry").distinct())
+    front = need
+    for _ in range(NAMING_ROUNDS):
+        further = front.select("path", F.explode(F.array_distinct(F.regexp_extract_all("entry.body", F.lit(_NAMES), F.lit(0)))).alias("key")).distinct()
+        front = cut(further.join(keyed, "key").select("path", "id", "entry").distinct().join(need, ["path", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        need = cut(need.unionByName(front))
+    return files.join(need.groupBy("path").agg(F.collect_list("entry").alias("context")), "path", "left")
+
+
+def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str]) -> DataFrame:
+    """Rows of FACT: accesses, calls and unresolved evidence of every function, and a file's macro aliases. Without ctx the files carry their context."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers, ctx))
     columns = [c.split()[0] for c in FACT.split(", ")]
 
     def run(batches):
-        own_macros, own_headers, context = sent.value
+        own_macros, shared, whole = sent.value
         for batch in batches:
             rows = []
-            for path, text in zip(batch["path"], batch["text"]):
+            carried = batch["context"] if whole is None else [None] * len(batch)
+            for path, text, own_headers, entries in zip(batch["path"], batch["text"], _headers_of(batch, shared), carried):
                 try:
+                    context = whole or context_from([(e["kind"], e["ordinal"], e["line"], e["body"]) for e in (entries if entries is not None else [])])
                     raw, active = _lines(text or "", own_macros, own_headers)
+                    for m in {d["name"] for d in declarations.macros(raw, active)} & context.aliases.keys():
+                        rows.append({"kind": "alias", "variable_name": m, "target_name": context.aliases[m]["target_name"], "target_kind": context.aliases[m]["target_kind"], "file": path, "evidence": json.dumps(context.aliases[m])})
                     for f in declarations.functions(raw, active):
                         w = accesses.Walk(f, context).run()
                         rows += [{**r, "access": r["kind"], "kind": "access", "file": path} for r in w.rows]
@@ -154,7 +222,7 @@ def walk(files: DataFrame, ctx: accesses.Context, macros: dict[str, str], header
                 frame[c] = frame[c].astype("Int32")
             yield frame.astype(object).where(frame.notna(), None)
 
-    return files.select("path", "text").mapInPandas(run, FACT)
+    return _carried(files, "path", "text").mapInPandas(run, FACT)
 
 
 @dataclass
@@ -171,10 +239,11 @@ class CodeIndex:
             raise AttributeError(name) from None
 
     @classmethod
-    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None) -> CodeIndex:
-        """files: path, text (and ordinal, else the order of paths); threads: thread_id, entry_function, is_interrupt_like.
+    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> CodeIndex:
+        """files: path, text (and ordinal, else an order by hashes of paths); threads: thread_id, entry_function, is_interrupt_like.
 
-        Headers that conditional compilation needs are found by their file names among the files. With a path, all tables are written there.
+        Headers that conditional compilation needs are found by their file names among the files. All declarations are broadcast
+        up to broadcast_bytes; a larger code base is joined file by file with what it names. With a path, all tables are written there.
         """
         from .graph import cut
 
@@ -182,11 +251,14 @@ class CodeIndex:
         if "ordinal" not in files.columns:
             files = files.withColumn("ordinal", F.xxhash64("path"))
         macros = dict(macros or {})
-        texts = files.where(F.lower("path").rlike(r"\.(h|hh|hpp|hxx|inl)$")).select("path", "text").collect()
-        headers = {r["path"].replace("\\", "/").split("/")[-1].lower(): r["text"] or "" for r in texts}
+        files, headers = with_headers(files, broadcast_bytes)
         declared = cut(declare(files, macros, headers))
-        ctx = context_of(declared, files, macros, headers)
-        facts = cut(walk(files, ctx, macros, headers))
+        size = declared.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
+        if size <= broadcast_bytes:
+            rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "line", "body").collect()
+            facts = cut(walk(files, context_from(map(tuple, rows)), macros, headers))
+        else:
+            facts = cut(walk(with_context(files, declared), None, macros, headers))
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))
         members = "array<struct<name:string,member_type:string,is_array:boolean,pointer_level:int,line:int,declaration:string>>"
         types = body("type", f"name string, aliases array<string>, line int, declaration string, members {members}").select(F.col("path").alias("file"), "ordinal", "b.*")
@@ -205,11 +277,13 @@ class CodeIndex:
         inside = facts.where("kind = 'unresolved'").select(F.col("access").alias("kind"), "function_name", "variable_name", "file", "line", "evidence", F.lit("function").alias("scope"))
         macro_notes = t["macro_def"].where("is_function_like").select(F.lit("macro").alias("kind"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("string").alias("variable_name"), "file", "line", F.col("declaration").alias("evidence"), F.lit("file").alias("scope"))
         t["unresolved"] = inside.unionByName(macro_notes)
-        schema = "name string, replacement string, parameters array<string>, is_function_like boolean, target_name string, target_kind string, line int, declaration string"
-        t["macro_alias"] = spark.createDataFrame([tuple(a[c.split()[0]] for c in schema.split(", ")) for a in ctx.aliases.values()], schema)
-        owners = spark.createDataFrame([(n, g["type_name"], g["is_array"], g["pointer_level"]) for n, g in ctx.global_types.items() if g["type_name"] in ctx.types], "name string, type_name string, is_array boolean, pointer_level int")
-        named = spark.createDataFrame([(alias, m["name"], m["member_type"], m["is_array"], m["pointer_level"]) for alias, ty in ctx.types.items() for m in ty["members"]], "type_name string, name string, member_type string, is_array boolean, pointer_level int")
-        t["member_symbol"] = impact.member_expansion(owners, named)
+        alias = "name string, replacement string, parameters array<string>, is_function_like boolean, target_name string, target_kind string, line int, declaration string"
+        t["macro_alias"] = facts.where("kind = 'alias'").select(F.from_json("evidence", alias).alias("a")).select("a.*").distinct()
+        typed = types.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name"), "ordinal", "line", "members")
+        typed = impact.keep_first(typed, ["type_name"], ["ordinal", "line"])
+        named = typed.select("type_name", F.explode("members").alias("m")).select("type_name", "m.name", "m.member_type", "m.is_array", "m.pointer_level")
+        owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
+        t["member_symbol"] = impact.member_expansion(owners.select("name", "type_name", "is_array", "pointer_level"), named)
         t["thread_reach"] = reachability(threads, t["call_edge"])
         t["access_index"] = impact.inverted_index(t["access"])
         index = cls(spark, t)

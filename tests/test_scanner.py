@@ -86,6 +86,15 @@ def index(spark):
     return CodeIndex.build(files, threads, {"USE_EXTRA": "", "LIMIT": "3"})
 
 
+def test_joined_contexts_equal_the_broadcast_one(spark, index):
+    files = spark.createDataFrame([("p/shared.h", SHARED, 0), ("p/main.c", MAIN, 1), ("p/bad.c", None, 2)], "path string, text string, ordinal long")
+    threads = spark.createDataFrame([("work", "Worker", False), ("irq", "Irq", True)], "thread_id string, entry_function string, is_interrupt_like boolean")
+    other = CodeIndex.build(files, threads, {"USE_EXTRA": "", "LIMIT": "3"}, broadcast_bytes=0)
+    for name in ("access", "unresolved", "call_edge", "macro_alias", "member_symbol", "global_var", "thread_reach"):
+        same = index.tables[name].columns
+        assert rows(other.tables[name], *same) == rows(index.tables[name], *same), name
+
+
 def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
 
