@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field
 
 from .declarations import Function
-from .lexer import KEYWORDS, Member, calls, classify, members, top_level, word
+from .lexer import KEYWORDS, Member, calls, calls_alternate, classify, classify_alternate, members, top_level, word
 
 _ASM = re.compile(r"\b(?:__asm|asm)\b")
 _POINTER_CALL = re.compile(r"\(\s*\*\s*[A-Za-z_]\w*\s*\)\s*\(")
@@ -29,6 +29,7 @@ class Context:
     functions: dict[str, list[str]] = field(default_factory=dict)  # simple name -> full names
     templates: dict[str, list[tuple]] = field(default_factory=dict)  # function -> (parameter, path, kind, typed name)
     aliases: dict[str, dict] = field(default_factory=dict)  # macro aliases, in name order
+    dialect: str = "primary"
 
     def __post_init__(self):
         self.type_names = sorted(self.types, key=lambda n: (-len(n), n))
@@ -142,7 +143,9 @@ class Walk:
 
     def point(self, name: str, value: str, type_name: str) -> None:
         new = self.stands_for(value, type_name)
-        if new is None or self.alias.get(name, new) != new:
+        if self.ctx.dialect == "alternate":  # the last assignment that can be told wins
+            self.alias |= {name: new} if new else {}
+        elif new is None or self.alias.get(name, new) != new:
             self.alias.pop(name, None)
             self.unclear.add(name)
         elif name not in self.unclear:
@@ -211,7 +214,7 @@ class Walk:
         self.notes.append({"kind": kind, "function_name": self.f.name, "variable_name": variable, "line": line, "evidence": raw.strip()})
 
     def touch(self, line: int, raw: str, masked: str, macros: list[str], **row) -> None:
-        row = {"target_name": None, "access_expression": None} | row
+        row = {"target_name": row["variable_name"] if self.ctx.dialect == "alternate" else None, "access_expression": None} | row
         key = (row["target_kind"], row["target_name"] or row["variable_name"], row["kind"], line, row["access_expression"], tuple(row["reasons"]), tuple(macros))
         if key not in self.seen:
             self.seen.add(key)
@@ -236,7 +239,9 @@ class Walk:
         return {n: list(dict.fromkeys(t)) for n, t in out.items() if t}
 
     def run(self) -> Walk:
-        ctx, tables = self.ctx, self.tables()
+        ctx, other = self.ctx, self.ctx.dialect == "alternate"
+        tables = {} if other else self.tables()
+        judge, called = (classify_alternate, calls_alternate) if other else (classify, calls)
         for number, raw, own in self.f.body:
             line, macros = expand(own, ctx)
             self.learn(line)
@@ -248,7 +253,7 @@ class Walk:
                 got = self.resolve(m)
                 if not got:
                     continue
-                kind, reason = classify(line, m.text)
+                kind, reason = judge(line, m.text)
                 if got[0]:
                     self.touch(number, raw, line, macros, variable_name=got[0], target_kind="member", kind=kind, reasons=[reason], access_expression=m.text)
                     if reason == "address-taken":
@@ -260,11 +265,11 @@ class Walk:
                 plain = plain[: m.start] + " " * (m.end - m.start) + plain[m.end :]
             for name in dict.fromkeys(_NAME.findall(plain)):
                 if name in ctx.globals:
-                    kind, reason = classify(plain, name)
+                    kind, reason = judge(plain, name)
                     self.touch(number, raw, line, macros, variable_name=name, target_kind="global", kind=kind, reasons=[reason])
                     if reason == "address-taken":
                         self.note(reason, name, number, raw)
-            for call in calls(line) if "(" in line else ():
+            for call in called(line) if "(" in line else ():
                 for full in ctx.functions.get(call.name, ()):
                     if full == self.f.name:
                         continue

@@ -169,6 +169,21 @@ def classify(line: str, name: str) -> tuple[str, str]:
     return READ, "read-reference"
 
 
+_PLAIN_ASSIGN = re.compile(r"\s*[-+*/%&|^]?=")
+
+
+def classify_alternate(line: str, name: str) -> tuple[str, str]:
+    """The alternate dialect's classifier: '==' counts as an assignment, indexes are not passed over, shifts are none, and '&' is a read."""
+    spots = [(m.start(), m.end()) for m in re.finditer(re.escape(name), line)]
+    if any(_STEP_BEFORE.search(line, 0, a) or _STEP_AFTER.match(line, b) for a, b in spots):
+        return WRITE, "increment-decrement"
+    if any(_PLAIN_ASSIGN.match(line, b) for _, b in spots):
+        return WRITE, "assignment"
+    if any(_ADDRESS.search(line, 0, m.start()) for m in word(name).finditer(line)):
+        return READ, "address-taken"
+    return READ, "read-reference"
+
+
 class Call(NamedTuple):
     name: str
     arguments: tuple[str, ...]
@@ -185,3 +200,9 @@ def calls(line: str) -> list[Call]:
             i = end
         i += 1
     return out
+
+
+def calls_alternate(line: str) -> list[Call]:
+    """The alternate dialect's calls: innermost ones, with arguments between commas."""
+    found = re.finditer(r"(?<![A-Za-z0-9_])([A-Za-z_]\w*)\s*\(([^()]*)\)", line)
+    return [Call(m[1], tuple(a.strip() for a in m[2].split(",") if a.strip())) for m in found if m[1] not in CONTROL]

@@ -142,14 +142,15 @@ def member_expansion(globals_: DataFrame, members: DataFrame, levels: int = 3) -
     globals_: name, type_name, pointer_level, is_array; members: type_name, name, member_type, is_array, pointer_level. Pointer members are listed
     but not entered; arrays get []; the first connector of a pointer global is ->.
     """
+    more = [c for c in ("file", "line", "declaration") if c in members.columns]  # carried along
     g = globals_.where("type_name IS NOT NULL")
     plain = g.select(F.col("name").alias("owner"), F.concat("name", F.when(F.col("is_array"), F.lit("[]")).otherwise(F.lit(""))).alias("base"), F.when(F.col("pointer_level") > 0, F.lit("->")).otherwise(F.lit(".")).alias("con"), "type_name")
     indexed = g.where("pointer_level > 0 AND NOT is_array").select(F.col("name").alias("owner"), F.concat("name", F.lit("[]")).alias("base"), F.lit("->").alias("con"), "type_name")
     front, out = plain.unionByName(indexed), None
-    m = members.select(F.col("type_name").alias("_t"), F.col("name").alias("member_name"), "member_type", F.col("is_array").alias("_a"), F.col("pointer_level").alias("_p"))
+    m = members.select(F.col("type_name").alias("_t"), F.col("name").alias("member_name"), "member_type", F.col("is_array").alias("_a"), F.col("pointer_level").alias("_p"), *more)
     for level in range(1, levels + 1):
-        here = front.join(m, front["type_name"] == m["_t"]).select("owner", F.concat("base", "con", "member_name", F.when(F.col("_a"), F.lit("[]")).otherwise(F.lit(""))).alias("name"), "member_name", "member_type", "_p", F.lit(level).alias("level"))
-        part = here.select("owner", "name", "member_name", "level")
+        here = front.join(m, front["type_name"] == m["_t"]).select("owner", F.concat("base", "con", "member_name", F.when(F.col("_a"), F.lit("[]")).otherwise(F.lit(""))).alias("name"), "member_name", "member_type", "_p", F.lit(level).alias("level"), *more)
+        part = here.select("owner", "name", "member_name", "level", *more)
         out = part if out is None else out.unionByName(part)
         front = here.where("_p = 0 AND member_type IS NOT NULL").select("owner", F.col("name").alias("base"), F.lit(".").alias("con"), F.col("member_type").alias("type_name"))
     return out

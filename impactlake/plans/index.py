@@ -146,7 +146,7 @@ def aliases_of(macros: list[dict], globals_: set[str], types: dict[str, dict]) -
     return out
 
 
-def context_from(rows) -> accesses.Context:
+def context_from(rows, dialect: str = "primary") -> accesses.Context:
     """A context from declarations (kind, ordinal, line, body); the first of a name wins, in file order and then by line."""
     by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": [], "template": []}
     for kind, _, _, body in sorted(rows, key=lambda r: (r[1], r[2], r[0], r[3])):
@@ -162,7 +162,7 @@ def context_from(rows) -> accesses.Context:
     for f in by["function"]:
         full = simple.setdefault(f["name"].split("::")[-1], [])
         full += [f["name"]] if f["name"] not in full else []
-    ctx = accesses.Context(set(first), first, types, simple, {}, aliases_of(by["macro"], set(first), types))
+    ctx = accesses.Context(set(first), first, types, simple, {}, aliases_of(by["macro"], set(first), types), dialect)
     for t in by["template"]:
         known = next((n for n in ctx.type_names if n in t["words"]), None)
         row = (t["parameter"], tuple(t["path"]), t["access"], f"{known}::{'.'.join(t['path'])}" if known else None)
@@ -194,7 +194,7 @@ def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
     return files.join(need.groupBy("path").agg(F.collect_list("entry").alias("context")), "path", "left")
 
 
-def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str]) -> DataFrame:
+def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary") -> DataFrame:
     """Rows of FACT: accesses, calls and unresolved evidence of every function, and a file's macro aliases. Without ctx the files carry their context."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers, ctx))
     columns = [c.split()[0] for c in FACT.split(", ")]
@@ -206,7 +206,7 @@ def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str],
             carried = batch["context"] if whole is None else [None] * len(batch)
             for path, text, own_headers, entries in zip(batch["path"], batch["text"], _headers_of(batch, shared), carried):
                 try:
-                    context = whole or context_from([(e["kind"], e["ordinal"], e["line"], e["body"]) for e in (entries if entries is not None else [])])
+                    context = whole or context_from([(e["kind"], e["ordinal"], e["line"], e["body"]) for e in (entries if entries is not None else [])], dialect)
                     raw, active = _lines(text or "", own_macros, own_headers)
                     for m in {d["name"] for d in declarations.macros(raw, active)} & context.aliases.keys():
                         rows.append({"kind": "alias", "variable_name": m, "target_name": context.aliases[m]["target_name"], "target_kind": context.aliases[m]["target_kind"], "file": path, "evidence": json.dumps(context.aliases[m])})
@@ -239,7 +239,7 @@ class CodeIndex:
             raise AttributeError(name) from None
 
     @classmethod
-    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> CodeIndex:
+    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, dialect: str = "primary") -> CodeIndex:
         """files: path, text (and ordinal, else an order by hashes of paths); threads: thread_id, entry_function, is_interrupt_like.
 
         Headers that conditional compilation needs are found by their file names among the files. All declarations are broadcast
@@ -256,9 +256,9 @@ class CodeIndex:
         size = declared.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
         if size <= broadcast_bytes:
             rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "line", "body").collect()
-            facts = cut(walk(files, context_from(map(tuple, rows)), macros, headers))
+            facts = cut(walk(files, context_from(map(tuple, rows), dialect), macros, headers, dialect))
         else:
-            facts = cut(walk(with_context(files, declared), None, macros, headers))
+            facts = cut(walk(with_context(files, declared), None, macros, headers, dialect))
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))
         members = "array<struct<name:string,member_type:string,is_array:boolean,pointer_level:int,line:int,declaration:string>>"
         types = body("type", f"name string, aliases array<string>, line int, declaration string, members {members}").select(F.col("path").alias("file"), "ordinal", "b.*")
@@ -276,12 +276,12 @@ class CodeIndex:
         t["access"] = facts.where("kind = 'access'").select("function_name", "seq", "variable_name", "target_name", "target_kind", F.col("access").alias("kind"), "file", "line", "evidence", "expanded_evidence", "reasons", "access_expression", "macro_names")
         inside = facts.where("kind = 'unresolved'").select(F.col("access").alias("kind"), "function_name", "variable_name", "file", "line", "evidence", F.lit("function").alias("scope"))
         macro_notes = t["macro_def"].where("is_function_like").select(F.lit("macro").alias("kind"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("string").alias("variable_name"), "file", "line", F.col("declaration").alias("evidence"), F.lit("file").alias("scope"))
-        t["unresolved"] = inside.unionByName(macro_notes)
+        t["unresolved"] = inside.unionByName(macro_notes) if dialect == "primary" else inside
         alias = "name string, replacement string, parameters array<string>, is_function_like boolean, target_name string, target_kind string, line int, declaration string"
         t["macro_alias"] = facts.where("kind = 'alias'").select(F.from_json("evidence", alias).alias("a")).select("a.*").distinct()
-        typed = types.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name"), "ordinal", "line", "members")
+        typed = types.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name"), "file", "ordinal", "line", "members")
         typed = impact.keep_first(typed, ["type_name"], ["ordinal", "line"])
-        named = typed.select("type_name", F.explode("members").alias("m")).select("type_name", "m.name", "m.member_type", "m.is_array", "m.pointer_level")
+        named = typed.select("type_name", "file", F.explode("members").alias("m")).select("type_name", "file", "m.name", "m.member_type", "m.is_array", "m.pointer_level", "m.line", "m.declaration")
         owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
         t["member_symbol"] = impact.member_expansion(owners.select("name", "type_name", "is_array", "pointer_level"), named)
         t["thread_reach"] = reachability(threads, t["call_edge"])
@@ -351,7 +351,8 @@ class Impact:
         decl = t["global_var"].where(F.col("name") == symbol).select(F.lit("global").alias("kind"), "name", "file", "line", "declaration")
         macro = t["macro_def"].where(F.col("name") == symbol).select(F.lit("macro").alias("kind"), "name", "file", "line", "declaration")
         fn = t["function"].where(F.col("name") == symbol).select(F.lit("function").alias("kind"), "name", "file", F.col("start_line").alias("line"), F.col("signature").alias("declaration"))
-        self.declarations = decl.unionByName(macro).unionByName(fn)
+        member = t["member_symbol"].where(F.col("name") == symbol).select(F.lit("member").alias("kind"), "name", "file", "line", "declaration").distinct()
+        self.declarations = decl.unionByName(member).unionByName(macro).unionByName(fn)
 
     def _inferred(self) -> set[str]:
         """Typed names of accesses whose expression holds the selection, and the names that share those types."""
@@ -362,12 +363,18 @@ class Impact:
         actual = a.join(typed.withColumnRenamed("n", "target_name"), "target_name", "left_semi").select("variable_name")
         return {r[0] for r in typed.union(actual).distinct().collect()}
 
+    def _expansions(self) -> DataFrame:
+        """What a macro stands for: name and kind."""
+        own = F.col("name") == (self.symbol if self.kind == "macro" else None)
+        return self.index.tables["macro_alias"].where(own).select(F.col("target_name").alias("name"), F.col("target_kind").alias("kind"))
+
     def nodes(self) -> DataFrame:
         """id, label, kind of the impact graph, each id once."""
         target = self.index.spark.createDataFrame([("target", self.symbol, "target")], "id string, label string, kind string")
         place = F.concat_ws(":", "kind", "name", "file", "line")
         parts = [
             self.declarations.select(place.alias("id"), F.col("declaration").alias("label"), "kind"),
+            self._expansions().select(F.concat_ws(":", "kind", "name").alias("id"), F.col("name").alias("label"), "kind"),
             self.functions.select(F.concat(F.lit("function:"), "name").alias("id"), F.col("name").alias("label"), F.lit("function").alias("kind")),
             self.threads.select(F.concat(F.lit("thread:"), "thread_id").alias("id"), F.col("thread_id").alias("label"), F.lit("thread").alias("kind")),
             self.risks.select(F.concat(F.lit("risk:"), "code").alias("id"), F.col("code").alias("label"), F.lit("risk").alias("kind")),
@@ -385,6 +392,7 @@ class Impact:
         t, names = F.lit("target"), self.functions.select("name")
         walked = self.edges_walked.join(names.withColumnRenamed("name", "caller"), "caller", "left_semi").join(names.withColumnRenamed("name", "callee"), "callee", "left_semi")
         parts = [
+            to(self._expansions(), t, F.concat_ws(":", "kind", "name"), F.lit("expands-to")),
             to(self.functions, t, fn("name"), F.lit("access" if self.kind != "function" else "related")),
             to(walked.distinct(), fn("caller"), fn("callee"), F.lit("calls")),
             to(self.accesses, fn("function_name"), t, F.col("kind")),

@@ -72,7 +72,7 @@ def update(spark: SparkSession, path: str, files: DataFrame, threads: DataFrame,
         index.tables["thread_reach"] = reachability(threads, index.call_edge)
     else:
         version = f"v-{uuid.uuid4().hex}"
-        index = CodeIndex.build(files.select("path", "text"), threads, macros, f"{path}/{version}")
+        index = CodeIndex.build(files.select("path", "text"), threads, macros, f"{path}/{version}", dialect=dialect)
         current.write.parquet(f"{path}/{version}/file_sig")
     record = {"dialect": dialect, "version": version, "mode": "update" if previous is not None else "full", "reason": decision.reason, "changed": decision.changed, "ms": int(1000 * (time.time() - started))}
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/run")

@@ -26,7 +26,7 @@ def encoding(value: str | None) -> str:
 
 
 def dialect(value: str | None) -> str:
-    return "alternate" if value in ("alternate", "typescript", "clang") else "primary"
+    return "alternate" if value == "alternate" else "primary"
 
 
 def clamp(value, low: int, high: int, default: int) -> int:

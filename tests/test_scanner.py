@@ -95,6 +95,18 @@ def test_joined_contexts_equal_the_broadcast_one(spark, index):
         assert rows(other.tables[name], *same) == rows(index.tables[name], *same), name
 
 
+def test_alternate_dialect(spark):
+    text = "int g;\nint a[4];\nvoid G(void) {}\nvoid F(void)\n{\n if (g == 2) {}\n}\nvoid H(void)\n{\n a[1] = G(F(1));\n k = &g;\n}\n"
+    files = spark.createDataFrame([("a.c", text)], "path string, text string")
+    threads = spark.createDataFrame([], "thread_id string, entry_function string, is_interrupt_like boolean")
+    got = {d: CodeIndex.build(files, threads, dialect=d) for d in ("primary", "alternate")}
+    kinds = {d: rows(i.access, "function_name", "variable_name", "kind") for d, i in got.items()}
+    assert kinds["primary"] == [("F", "g", "read"), ("H", "a", "write"), ("H", "g", "unknown")]
+    assert kinds["alternate"] == [("F", "g", "write"), ("H", "a", "read"), ("H", "g", "read")]
+    assert rows(got["primary"].call_edge, "callee") == [("G",)] and rows(got["alternate"].call_edge, "callee") == [("F",)]
+    assert got["alternate"].access.where("target_name <> variable_name OR target_name IS NULL").count() == 0
+
+
 def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
 
