@@ -246,7 +246,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = Fals
     rows stay, each with its class. Null ids never become a class while another id is there.
     """
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    name = fresh(docs, "class_id", "_th", "_comp")
+    name = fresh(docs, "class_id", "_th")
     hashed = docs.withColumn(name["_th"], F.when(words, F.unhex(F.md5(F.encode("text", "UTF-8")))))
     rows = hashed.where(F.col(name["_th"]).isNotNull()).select(F.col(name["_th"]).alias("th"), "doc_id", "text")
     nodes = cut(sketch(rows, "th", "text").groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -273,14 +273,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = Fals
     if not more.isEmpty():
         roots = cut(components(edges.union(more)))
     known = nodes.select("th", "first_id").join(roots.withColumnRenamed("node", "th"), "th", "left").select("th", "first_id", comp.alias("comp"))
+    if one_each:  # one text of each class, by the class's smallest id; equal rows of that text meet in the join's own partitions
+        best = known.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), "first_id", "th")).alias("b")).select(F.col("b.th").alias(name["_th"]), F.col("b.first_id").alias(name["class_id"]))
+        chosen = hashed.join(best, name["_th"]).where(F.col("doc_id").eqNullSafe(F.col(name["class_id"]))).dropDuplicates([name["_th"]])
+        alone = hashed.where(F.col(name["_th"]).isNull())  # texts without words are classes of their own
+        return chosen.select(*[F.col(f"`{c}`") for c in docs.columns]).union(alone.select(*[F.col(f"`{c}`") for c in docs.columns]))
     best = known.groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    of = known.join(best, "comp").select(F.col("th").alias(name["_th"]), F.col("comp").alias(name["_comp"]), F.col("class_id").alias(name["class_id"]))
+    of = known.join(best, "comp").select(F.col("th").alias(name["_th"]), F.col("class_id").alias(name["class_id"]))
     out = hashed.join(of, name["_th"], "left").withColumn(name["class_id"], F.coalesce(name["class_id"], "doc_id"))
-    if not one_each:
-        return out.drop(name["_th"], name["_comp"])
-    alone = F.col(name["_comp"]).isNull()  # texts without words are classes of their own
-    of_class = out.where(~alone & F.col("doc_id").eqNullSafe(F.col(name["class_id"]))).dropDuplicates([name["_comp"]])
-    return of_class.union(out.where(alone)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.drop(name["_th"])
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
