@@ -25,7 +25,8 @@ SHARE, MOST_REPEATS = 1.5, 2
 #: Documents with one leading hash up to which the radix search stops.
 LEAF_DOCS = 64
 BITS, HASH_BITS = 6, 63
-SHARD_WORDS, MOST_SHARDS, BLOCKS_A_SHARD = 2_000_000, 4096, 32
+#: Words of a shard, as long as that makes no more than MOST_SHARDS; larger shards are shuffled in several parts of about PART_WORDS.
+SHARD_WORDS, MOST_SHARDS, BLOCKS_A_SHARD, PART_WORDS = 200_000, 4096, 32, 2_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -79,6 +80,7 @@ class Plan:
     classes: list[tuple]  # source, class, whole rounds, hash threshold, hashes drawn besides
     taken: dict
     shards: int
+    parts: int = 1
 
 
 def _keys(docs: DataFrame, text_col: str, source_col: str, key_cols: list[str], seed: int) -> dict[str, Column]:
@@ -153,7 +155,7 @@ def make_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source
     rows = []
     for i, n in enumerate(names):
         rows.append((n, int(sizes[i]), float(aims[i]), max(1, int(blocks[i])), np.repeat(np.arange(shards), quotas[:, i]).tolist() or [0]))
-    return Plan(rows, [(s, c, rounds[s], classes.get((s, c), 0), sorted(extra.get((s, c), []))) for s, c in groups], taken, shards)
+    return Plan(rows, [(s, c, rounds[s], classes.get((s, c), 0), sorted(extra.get((s, c), []))) for s, c in groups], taken, shards, max(1, int(-(-sum(taken.values()) // (shards * PART_WORDS)))))
 
 
 def _joined(keys: DataFrame, border: DataFrame, shift: int) -> DataFrame:
@@ -192,13 +194,18 @@ def assign(docs: DataFrame, plan: Plan | None = None, text_col: str = "text", so
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], name["size"], name["source_size"], name["target"], name["draws"])
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The drawn rows, one for each draw, dealt to shards and shuffled inside each; columns as in docs, plus none."""
+def mix(docs: DataFrame, plan: Plan | None = None, **options) -> DataFrame:
+    """The drawn rows, one for each draw, dealt to shards and shuffled inside each; columns as in docs.
+
+    A large shard is dealt to several tasks by the draws' random ranks, so each part is a random sample of its shard.
+    """
+    plan = plan or make_plan(docs, **options)
     name = fresh(docs, "draws", "_d")
-    drawn = assign(docs, **options)
+    drawn = assign(docs, plan, **{k: v for k, v in options.items() if k in ("text_col", "source_col", "key_cols", "seed")})
     rows = drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(name["draws"]).alias(name["_d"]))
     d = F.col(name["_d"])
-    return rows.repartition(d["shard"]).sortWithinPartitions(d["shard"], d["rank"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    dealt = rows.repartition(d["shard"], F.pmod(d["rank"], F.lit(plan.parts))) if plan.parts > 1 else rows.repartition(d["shard"])
+    return dealt.sortWithinPartitions(d["shard"], d["rank"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
