@@ -25,6 +25,8 @@ SHARE, MOST_REPEATS = 1.5, 2
 #: Documents with one leading hash up to which the radix search stops.
 LEAF_DOCS = 64
 BITS, HASH_BITS = 6, 63
+#: Sources times size classes up to which a plan is made; this bounds what the driver holds and what is broadcast.
+MOST_GROUPS = 100_000
 #: Words of a shard, as long as that makes no more than MOST_SHARDS; larger shards are shuffled in several parts of about PART_WORDS.
 SHARD_WORDS, MOST_SHARDS, BLOCKS_A_SHARD, PART_WORDS = 200_000, 4096, 32, 2_000_000
 
@@ -96,7 +98,10 @@ def _keys(docs: DataFrame, text_col: str, source_col: str, key_cols: list[str],
 def make_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", key_cols: list[str] = ["doc_id"], weights=WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS, seed: int = 5) -> Plan:
     spark = docs.sparkSession
     keys = cut(docs.select(*[c.alias(n) for n, c in _keys(docs, text_col, source_col, key_cols, seed).items()]))
-    groups = {(r["source"], r["class"]): (r["words"], r["docs"]) for r in keys.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
+    totals = keys.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).take(MOST_GROUPS + 1)
+    if len(totals) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} sources and size classes; group sources before mixing")
+    groups = {(r["source"], r["class"]): (r["words"], r["docs"]) for r in totals}
     names = sorted({s for s, _ in groups}, key=lambda s: (s is None, s or ""))
     sizes = [sum(w for (s, _), (w, _) in groups.items() if s == name) for name in names]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, repeats)
