@@ -19,8 +19,8 @@ from .components import components
 
 #: Smallest cosine of a link, in double precision.
 THRESHOLD = 0.93
-#: Sorted passes and bits of a key; more passes find more of the links at the threshold when labels hold more vectors.
-PASSES, KEY_BITS = 8, 62
+#: Fewest sorted passes, bits of a key, and the share of pairs right at the threshold that all passes together may miss.
+PASSES, KEY_BITS, MISSED = 8, 62, 0.01
 #: Rows compared at once, and how many of them the next comparison sees again.
 WINDOW, OVERLAP = 512, 256
 TILE = 512
@@ -59,6 +59,17 @@ def _forest(x: np.ndarray, threshold: float) -> np.ndarray:
         label = new
 
 
+def passes_for(largest: int, threshold: float = THRESHOLD) -> int:
+    """Passes that meet MISSED when the largest label has so many vectors.
+
+    A pass brings a pair together once its keys agree in the leading bits that cut the label down to half a window; each bit
+    agrees with the probability 1 - angle / pi.
+    """
+    bits = max(0.0, np.log2(max(1, largest) / (WINDOW / 2)))
+    meets = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return max(PASSES, int(np.ceil(np.log(MISSED) / np.log1p(-min(meets, 1 - 1e-9)))))
+
+
 def pass_edges(reps: DataFrame, passes: int = PASSES, threshold: float = THRESHOLD, seed: int = 7) -> DataFrame:
     """Edges (a, b) between keys of vectors that some pass brings together and the cosine verifies."""
 
@@ -152,12 +163,13 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return per_tile.groupBy("rid").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
     A null, empty or zero vector, one with a null or non-finite component, and one without a label link with nothing: no
     links, and its own vec_id as component. Vectors of different lengths never link. Repeated rows are vectors of their
-    own, equal to each other. Extra columns are ignored. A null vec_id is kept as it is.
+    own, equal to each other. Extra columns are ignored. A null vec_id is kept as it is. The number of passes grows with the
+    largest label, so that what they may miss does not.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
@@ -166,7 +178,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     reps = cut(
         keyed.where("rid IS NOT NULL").groupBy("rid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
     )
-    roots = cut(components(pass_edges(reps, passes, threshold)))
+    largest = reps.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    roots = cut(components(pass_edges(reps, passes or passes_for(largest, threshold), threshold)))
     members = roots.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(reps, "rid").select("comp", "rid", "embedding", "n", "first_id")
     least = members.groupBy("comp").agg(F.min("first_id").alias("least_id"))
     links = count_links(members.select("comp", "rid", "embedding", "n"), threshold)
