@@ -345,6 +345,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = T
                         rows[i] = [{"start": w.start(), "end": w.end(), "p": float(q)} for w, q in zip(_WORD.finditer(whole[i]), own, strict=True) if q > 0.5]
                     columns.append(pa.array(rows, kind))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        m._at, m._own = {}, None  # workers live on; later stages need the memory
 
     return docs.mapInArrow(run, schema)
 
