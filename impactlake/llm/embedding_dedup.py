@@ -1,10 +1,8 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by exact comparison inside each label.
 
-In each pass every vector gets a key of concatenated random hyperplane bits; vectors sorted by label and
-key are compared with a bounded window of neighbours, and the pairs that verify give edges (a spanning
-forest of each window, never all its pairs). Components unite the passes. Links are then counted exactly
-inside each component: its vectors meet tile by tile, so a component of any size is spread over tasks and
-no pair is emitted. Equal vectors are one node with a count.
+Every pair of vectors of one label and length is compared: small labels share a task; a large one is cut into tiles,
+and each pair of tiles is one group, so that it is spread over tasks. A group gives each vector's number of links and
+a spanning forest of its links, never all pairs; components unite the forests. Equal vectors are one node with a count.
 """
 
 from __future__ import annotations
@@ -19,11 +17,8 @@ from .components import components
 
 #: Smallest cosine of a link, in double precision.
 THRESHOLD = 0.93
-#: Fewest sorted passes, bits of a key, and the share of pairs right at the threshold that all passes together may miss.
-PASSES, KEY_BITS, MISSED = 8, 62, 0.01
-#: Rows compared at once, and how many of them the next comparison sees again.
-WINDOW, OVERLAP = 512, 256
-TILE = 512
+#: Rows of a tile: as many as hold NUMBERS numbers, within these bounds; and rows compared at once.
+LEAST_TILE, MOST_TILE, NUMBERS, BLOCK = 512, 8192, 1 << 19, 1024
 
 
 def key16(*cols: Column) -> Column:
@@ -40,136 +35,76 @@ def unit(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if n else x
 
 
-def _keys(x: np.ndarray, number: int, seed: int) -> np.ndarray:
-    planes = np.random.default_rng([seed, number, x.shape[1]]).standard_normal((x.shape[1], KEY_BITS))
-    bits = (x @ planes > 0).astype(np.int64)
-    return bits @ (1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))
-
-
-def _forest(x: np.ndarray, threshold: float) -> np.ndarray:
-    """The smallest row that each row reaches through pairs of at least the threshold."""
-    near = x @ x.T >= threshold
-    np.fill_diagonal(near, True)
-    label = np.arange(len(x))
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, from those before and the pairs (a, b) that come in."""
     while True:
-        new = np.where(near, label[None, :], len(x)).min(axis=1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+        u, v = root[a], root[b]
+        apart = u != v
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while not ((new := root[root]) == root).all():
+            root = new
 
 
-def passes_for(largest: int, threshold: float = THRESHOLD) -> int:
-    """Passes that meet MISSED when the largest label has so many vectors.
+def links_within(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """rid, links, root of reps (rid, label, dim, embedding, n): from each group how many vectors of other rows a row links to, and a row that it reaches.
 
-    A pass brings a pair together once its keys agree in the leading bits that cut the label down to half a window; each bit
-    agrees with the probability 1 - angle / pi.
-    """
-    bits = max(0.0, np.log2(max(1, largest) / (WINDOW / 2)))
-    meets = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
-    return max(PASSES, int(np.ceil(np.log(MISSED) / np.log1p(-min(meets, 1 - 1e-9)))))
-
-
-def pass_edges(reps: DataFrame, passes: int = PASSES, threshold: float = THRESHOLD, seed: int = 7) -> DataFrame:
-    """Edges (a, b) between keys of vectors that some pass brings together and the cosine verifies."""
-
-    def project(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            dims = batch.column(2).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = unit(part.column(3))
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(_keys(x, p, seed)), *part.columns], names=["pass", "key", "rid", "label", "dim", "embedding"])
-
-    kind = reps.schema["label"].dataType.simpleString()
-    vector = reps.schema["embedding"].dataType.simpleString()
-    keyed = reps.select("rid", "label", "dim", "embedding").mapInArrow(project, f"pass int, key long, rid binary, label {kind}, dim int, embedding {vector}")
-    order = ["pass", "label", "dim", "key", "rid"]
-    spark = reps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-    def windows(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def compare(t: pa.Table, last: bool):
-            """Compares full windows; gives edges and the rows that later windows still need."""
-            start = 0
-            while t.num_rows - start >= WINDOW or (last and t.num_rows - start > 0 and (start == 0 or t.num_rows - start > OVERLAP)):
-                w = t.slice(start, WINDOW)
-                group = np.array([hash(g) for g in zip(w["pass"].to_pylist(), w["label"].to_pylist(), w["dim"].to_pylist(), strict=True)])
-                border = np.flatnonzero(np.diff(group, prepend=group[0] + 1))
-                for a, b in zip(border, [*border[1:], len(group)], strict=True):
-                    if b - a > 1:
-                        label = _forest(unit(w["embedding"].slice(a, b - a)), threshold)
-                        rid = w["rid"].slice(a, b - a).to_pylist()
-                        found = np.flatnonzero(label != np.arange(b - a))
-                        if len(found):
-                            yield pa.RecordBatch.from_arrays([pa.array([rid[i] for i in found], pa.binary()), pa.array([rid[label[i]] for i in found], pa.binary())], names=["a", "b"])
-                start += WINDOW - OVERLAP
-            rest.append(t.slice(min(start, t.num_rows)))
-
-        rest: list[pa.Table] = []
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * WINDOW:
-                rest.clear()
-                yield from compare(pa.Table.from_batches(held), False)
-                held, rows = rest[0].to_batches(), rest[0].num_rows
-        if held:
-            rest.clear()
-            yield from compare(pa.Table.from_batches(held), True)
-
-    return ranked.mapInArrow(windows, "a binary, b binary").distinct()
-
-
-def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rid, links: for each member (comp, rid, embedding, n) how many vectors of other members of its component it links to.
-
-    Small components share a task; a large one is cut into tiles, and each pair of tiles is one group.
+    A row without links gives none, and one in several groups gives one in each: links are to be summed. root is null for the row that
+    others of its group have as theirs.
     """
-    sizes = members.groupBy("comp").agg(F.count("*").alias("m"))
-    small = sizes.where(F.col("m") <= TILE).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("s")).first()["s"]
-    packs = max(1, -(-int(small) // TILE))
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    placed = members.join(sizes, "comp").withColumn("tiles", tiles).withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.hash("rid"), F.col("tiles"))).otherwise(0))
-    pack = F.when(F.col("tiles") > 1, F.col("comp")).otherwise(F.unhex(F.lpad(F.hex(F.pmod(F.hash("comp"), F.lit(packs))), 8, "0")))
+    most = F.greatest(F.lit(LEAST_TILE), F.least(F.lit(MOST_TILE), F.floor(F.lit(NUMBERS) / F.col("dim")))).cast("int")
+    own = reps.select(key16("label", "dim").alias("set"), "dim", "rid", "embedding", "n")
+    sizes = cut(own.groupBy("set", "dim").agg(F.count("*").alias("m")).withColumn("tiles", F.ceil(F.col("m") / most).cast("int")))
+    packs = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("tiles") == 1, F.col("m"))) / most)).cast("int")
+    packs = sizes.groupBy("dim").agg(packs.alias("packs"))
+    large = sizes.where("tiles > 1").select("set", "tiles")  # at most a row for each LEAST_TILE vectors
+    placed = own.join(F.broadcast(large), "set", "left").join(F.broadcast(packs), "dim").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    placed = placed.withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.hash("rid"), F.col("tiles"))).otherwise(0))
+    pack = F.when(F.col("tiles") > 1, F.col("set")).otherwise(F.unhex(F.lpad(F.hex(F.pmod(F.hash("set"), F.col("packs"))), 8, "0")))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    rows = placed.select(pack.alias("pack"), "comp", "rid", "embedding", "n", "tile", other)
-    rows = rows.select("pack", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "comp", "rid", "embedding", "n", "tile")
+    rows = placed.select(pack.alias("pack"), "dim", "set", "rid", "embedding", "n", "tile", other)
+    rows = rows.select("pack", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "dim", "set", "rid", "embedding", "n", "tile")
 
-    def count(t: pa.Table) -> pa.Table:
-        x = unit(t["embedding"])
-        n = t["n"].to_numpy().astype(np.int64)
+    def compare(t: pa.Table) -> pa.Table:
+        v = unit(t["embedding"])
+        n = t["n"].to_numpy().astype(float)
         tile = t["tile"].to_numpy()
-        comp = np.unique(np.array(t["comp"].to_pylist(), object), return_inverse=True)[1]
-        across = t["x"][0].as_py() != t["y"][0].as_py()
-        out = np.zeros(len(x), np.int64)
-        for k in range(0, len(x), 1024):
-            s = slice(k, k + 1024)
-            near = (x[s] @ x.T >= threshold) & (comp[s, None] == comp[None, :])
-            if across:
-                near &= tile[s, None] != tile[None, :]
-            near[np.arange(len(near)), np.arange(k, k + len(near))] = False
-            out[s] = near @ n
-        return pa.table({"rid": t["rid"].cast(pa.binary()), "links": pa.array(out)})
-
-    per_tile = rows.groupBy("pack", "x", "y").applyInArrow(count, "rid binary, links long")
-    return per_tile.groupBy("rid").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
+        at = np.unique(np.array(t["set"].to_pylist(), object), return_inverse=True)[1]
+        order = np.argsort(at, kind="stable")
+        low, high = t["x"][0].as_py(), t["y"][0].as_py()
+        links, root = np.zeros(len(v)), np.arange(len(v))
+        for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            left, right = (rows[tile[rows] == low], rows[tile[rows] == high]) if low != high else (rows, rows)
+            for i in range(0, len(left), BLOCK):
+                for j in range(0 if low != high else i, len(right), BLOCK):
+                    a, b = left[i : i + BLOCK], right[j : j + BLOCK]
+                    near = v[a] @ v[b].T >= threshold
+                    same = low == high and i == j
+                    if same:
+                        np.fill_diagonal(near, False)
+                    r, c = np.nonzero(near)
+                    if not len(r):
+                        continue
+                    links[a] += np.bincount(r, n[b[c]], len(a))
+                    if not same:
+                        links[b] += np.bincount(c, n[a[r]], len(b))
+                    root = _unite(root, a[r], b[c])
+        some = np.flatnonzero(links)
+        rid = np.array(t["rid"].to_pylist(), object)
+        up = np.where(root[some] == some, None, rid[root[some]])
+        return pa.table({"rid": pa.array(rid[some].tolist(), pa.binary()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(up.tolist(), pa.binary())})
+
+    return rows.groupBy("dim", "pack", "x", "y").applyInArrow(compare, "rid binary, links long, root binary")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
     A null, empty or zero vector, one with a null or non-finite component, and one without a label link with nothing: no
     links, and its own vec_id as component. Vectors of different lengths never link. Repeated rows are vectors of their
-    own, equal to each other. Extra columns are ignored. A null vec_id is kept as it is. The number of passes grows with the
-    largest label, so that what they may miss does not.
+    own, equal to each other. Extra columns are ignored. A null vec_id is kept as it is. No link is missed, however a label is spread.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
@@ -178,11 +113,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     reps = cut(
         keyed.where("rid IS NOT NULL").groupBy("rid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
     )
-    largest = reps.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    roots = cut(components(pass_edges(reps, passes or passes_for(largest, threshold), threshold)))
-    members = roots.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(reps, "rid").select("comp", "rid", "embedding", "n", "first_id")
-    least = members.groupBy("comp").agg(F.min("first_id").alias("least_id"))
-    links = count_links(members.select("comp", "rid", "embedding", "n"), threshold)
+    found = cut(links_within(reps, threshold))
+    roots = cut(components(found.where("root IS NOT NULL").select(F.col("rid").alias("a"), F.col("root").alias("b"))))
+    least = roots.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(reps.select("rid", "first_id"), "rid").groupBy("comp").agg(F.min("first_id").alias("least_id"))
+    links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     told = roots.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(least, "comp").join(links, "rid")
     per_rep = reps.select("rid", "first_id", "n").join(told.select("rid", "least_id", "links"), "rid", "left").select("rid", F.coalesce("least_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = keyed.select("vec_id", "rid").join(per_rep, "rid", "left")

@@ -118,3 +118,34 @@ def test_links_of_vectors_equal_brute_force(spark):
     assert all(got[k] == (0, k, True) for k, _, _ in odd)
     assert near.sum() > 5000
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def dense_label(n, cosine, pairs, seed, dims=64):
+    """Vectors of one label around one direction, of which some have a copy just inside the threshold."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(1 - cosine) * x + np.sqrt(cosine) * np.eye(dims)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.standard_normal((pairs, dims))
+    aside -= (aside * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    return np.concatenate([x, 0.931 * x[:pairs] + np.sqrt(1 - 0.931**2) * aside])
+
+
+def brute_force(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    return near, groups(len(x), zip(*(a.tolist() for a in np.nonzero(near))))
+
+
+@pytest.mark.parametrize("numbers", [embedding_dedup.NUMBERS, 1024], ids=["one_tile", "nine_tiles"])
+def test_dense_label_equals_brute_force(spark, monkeypatch, numbers):
+    monkeypatch.setattr(embedding_dedup, "NUMBERS", numbers)
+    x = dense_label(4000, 0.8, 300, 1).astype(np.float32).astype(float)
+    near, want = brute_force(x)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+    assert near.sum() >= 600
