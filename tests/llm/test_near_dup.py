@@ -149,3 +149,16 @@ def test_dense_label_equals_brute_force(spark, monkeypatch, numbers):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
     assert near.sum() >= 600
+
+
+def test_links_do_not_depend_on_the_session_partitions(spark):
+    x = dense_label(1500, 0.0, 1000, 3).astype(np.float32).astype(float)
+    near, want = brute_force(x)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
