@@ -25,8 +25,6 @@ FACT = (
 )
 #: Bytes of declarations, and of headers' directives, up to which they are broadcast. Beyond, each file is joined with what it names.
 BROADCAST_BYTES = 64 << 20
-#: Rounds in which declarations bring in what they name themselves; aliases and member types nest less deeply.
-NAMING_ROUNDS = 8
 _NAMES = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -174,7 +172,8 @@ def context_from(rows, dialect: str = "primary") -> accesses.Context:
 def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
     """The files with a column, context, of the declarations that each names, and of those that these name in turn.
 
-    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, round by round.
+    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, round by round
+    until no file gets a new one.
     """
     from .graph import cut
 
@@ -185,11 +184,9 @@ def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
     keyed = cut(own.select(F.explode(names).alias("key"), entry.alias("entry"), F.xxhash64("kind", "path", "line", "body").alias("id")).distinct())
     need = cut(files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0)))).alias("key")).join(keyed, "key").select("path", "id", "entry").distinct())
     front = need
-    for _ in range(NAMING_ROUNDS):
+    while not front.isEmpty():
         further = front.select("path", F.explode(F.array_distinct(F.regexp_extract_all("entry.body", F.lit(_NAMES), F.lit(0)))).alias("key")).distinct()
         front = cut(further.join(keyed, "key").select("path", "id", "entry").distinct().join(need, ["path", "id"], "left_anti"))
-        if front.isEmpty():
-            break
         need = cut(need.unionByName(front))
     return files.join(need.groupBy("path").agg(F.collect_list("entry").alias("context")), "path", "left")
 

@@ -95,6 +95,17 @@ def test_joined_contexts_equal_the_broadcast_one(spark, index):
         assert rows(other.tables[name], *same) == rows(index.tables[name], *same), name
 
 
+def test_joined_contexts_follow_long_chains_of_macros(spark):
+    chain = "".join(f"#define M{k:02} M{k + 1:02}\n" for k in range(1, 12)) + "#define M12 last\n"
+    files = spark.createDataFrame([("p/chain.h", chain + "extern int last;\n", 0), ("p/main.c", "void Worker(void)\n{\n M01 = 1;\n}\n", 1)], "path string, text string, ordinal long")
+    threads = spark.createDataFrame([("work", "Worker", False)], "thread_id string, entry_function string, is_interrupt_like boolean")
+    whole, joined = (CodeIndex.build(files, threads, broadcast_bytes=b) for b in (1 << 20, 0))
+    for name in ("access", "macro_alias"):
+        same = whole.tables[name].columns
+        assert rows(joined.tables[name], *same) == rows(whole.tables[name], *same), name
+    assert rows(joined.access, "variable_name", "kind") == [("last", "write")]
+
+
 def test_alternate_dialect(spark):
     text = "int g;\nint a[4];\nvoid G(void) {}\nvoid F(void)\n{\n if (g == 2) {}\n}\nvoid H(void)\n{\n a[1] = G(F(1));\n k = &g;\n}\n"
     files = spark.createDataFrame([("a.c", text)], "path string, text string")
