@@ -289,6 +289,22 @@ def _(t):
     return graph.neighborhood(t.call_edge, seeds, 1)[1]
 
 
+def _neighborhood_edges_sql(a: str, b: str, seeds: str) -> str:
+    walk = f"w(seed, name, depth) AS (SELECT name, name, 0 FROM ({seeds}) UNION SELECT seed, {b}, depth + 1 FROM w JOIN call_edge ON {a} = name WHERE depth < {DEPTH})"
+    return with_ctes("call_edge", walk, rest=f"SELECT DISTINCT seed, {a}, {b} FROM w JOIN call_edge ON {a} = name WHERE depth < {DEPTH}", recursive=True)
+
+
+@query("neighborhood_edges_forward_d4", _neighborhood_edges_sql("caller", "callee", "SELECT 'nation_' || n_nationkey AS name FROM nation"))
+def _(t):
+    seeds = t.table("nation").select(F.concat(F.lit("nation_"), "n_nationkey").alias("name"))
+    return graph.neighborhood(t.call_edge, seeds, DEPTH)[1]
+
+
+@query("neighborhood_edges_backward_d4", _neighborhood_edges_sql("callee", "caller", "SELECT 'fn_' || o_orderkey AS name FROM orders"))
+def _(t):
+    return graph.neighborhood(t.call_edge, t.function.select("name"), DEPTH, reverse=True)[1]
+
+
 @query("thread_reach_closure", with_ctes("thread", "call_edge", "r(function_name, thread_id, is_interrupt_like) AS (SELECT entry_function, thread_id, is_interrupt_like FROM thread UNION SELECT callee, thread_id, is_interrupt_like FROM r JOIN call_edge ON caller = function_name)", rest="SELECT * FROM r", recursive=True))
 def _(t):
     return t.thread_reach
