@@ -30,6 +30,8 @@ from .textarrays import parts
 SAMPLE_ROWS = 4000
 #: Log-likelihood ratio from which a word or stem counts as tied to toxic documents, and the share of toxic ones among its documents.
 EVIDENCE, PURITY = 10.0, 0.9
+#: Training rounds of the field, for any number of sequences.
+ROUNDS = 150
 #: Words on each side of a labelled one in a training window.
 WINDOW = 8
 CHUNK = 128
@@ -236,7 +238,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             labels.append([int(bool(bad) and any(f in told for f in features(w))) for w in part])
     order = rng.permutation(len(seqs))
     if len(order):
-        _train(model, [seqs[i] for i in order], np.array([labels[i] for i in order], float), 60 if len(order) > 1500 else 150)
+        _train(model, [seqs[i] for i in order], np.array([labels[i] for i in order], float))
     # The curve, by Newton steps on the sample's documents, held near a prior.
     x = np.concatenate([model.summary(*model.tag(texts[k : k + 200])) for k in range(0, len(texts), 200)])
     prior = np.array([-3.0, 4.0, 1.0])
@@ -249,7 +251,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def _train(model: Model, seqs: list[list[str]], y: np.ndarray, rounds: int = 60) -> None:
+def _train(model: Model, seqs: list[list[str]], y: np.ndarray, rounds: int = ROUNDS) -> None:
     """Fits weights and transitions to sequences of one length by Adagrad on the exact gradient."""
     names: dict[str, int] = {}
     n, width = y.shape

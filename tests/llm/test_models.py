@@ -104,6 +104,15 @@ def test_marginals_equal_brute_force():
         at += n
 
 
+def test_toxicity_trains_as_many_rounds_at_every_size(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_train", lambda model, seqs, y, *rounds: seen.append((len(seqs), rounds)))
+    for n in (100, 1000):
+        toxicity.fit(["fine words here", "bad words here"] * n, [0, 1] * n)
+    assert seen[0][0] < 1500 < seen[1][0]
+    assert seen[0][1] == seen[1][1]
+
+
 def test_toxicity_of_unseen_texts(spark, prose):
     bad = ["zarkle", "mubbing", "grotz"]
     rng = random.Random(9)
