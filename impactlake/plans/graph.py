@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again, so that a loop's lineage stays short."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="impactlake-")
-    path = f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import cut
 
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
