@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, scratch  # noqa: F401
+
 #: ASCII white space that separates words: space, tab and the four controls 0x0A-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,27 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="impactlake-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: no lineage, and safe when executors are lost."""
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """A column name for each wish that no column of df has, whatever its letters' case."""
     taken = {c.lower() for c in df.columns}
