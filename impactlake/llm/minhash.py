@@ -160,28 +160,38 @@ def _forest(n: int, near) -> np.ndarray:
 
 
 def maybe_edges(members: DataFrame, least: float = MAYBE) -> DataFrame:
-    """Edges (a, b), a spanning forest for each bucket, of texts whose signatures agree in at least that share of slots; members: bk, th, sig.
+    """Edges (a, b), a spanning forest for each bucket or two of its tiles, of texts whose signatures agree in at least that share of slots; members: bk, th, sig.
 
-    All members of a bucket are compared, but only the forest leaves the task.
+    All members of a bucket are compared, but only forests leave the tasks. Buckets of up to PACK members share tasks; larger ones are cut
+    into tiles, and each two tiles meet in one group.
     """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(np.argsort(t["bk"].to_numpy(), kind="stable"))
         bk = t["bk"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(bk), -1)
-        th = t["th"].to_pylist()
+        th, first = t["th"].to_pylist(), t["tile"].to_numpy() == t["x"][0].as_py()
+        across = t["x"][0].as_py() != t["y"][0].as_py()
         border = np.flatnonzero(np.diff(bk, prepend=bk[0] + 1, append=bk[-1] + 1))
         out: set[tuple] = set()
         for a, b in zip(border, border[1:], strict=False):
-            own = sig[a:b]
-            label = _forest(b - a, lambda i, own=own: i + 1 + np.flatnonzero((own[i + 1 :] == own[i]).mean(axis=1) >= least))
+            own, left = sig[a:b], first[a:b]
+
+            def near(i: int, own=own, left=left) -> np.ndarray:
+                close = (own[i + 1 :] == own[i]).mean(axis=1) >= least
+                return i + 1 + np.flatnonzero(close & (left[i + 1 :] != left[i]) if across else close)
+
+            label = _forest(b - a, near)
             out.update((th[a + label[i]], th[a + i]) for i in np.flatnonzero(label != np.arange(b - a)).tolist())
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     sizes = members.groupBy("bk").agg(F.count("*").alias("m"))
-    packs = F.pmod(F.hash("bk"), F.lit(max(1, -(-members.count() // PACK))))
-    placed = members.join(sizes, "bk").withColumn("alone", F.col("m") > PACK).withColumn("pack", F.when(F.col("alone"), F.col("bk")).otherwise(packs.cast("long")))
-    return placed.select("pack", "alone", "bk", "th", "sig").groupBy("pack", "alone").applyInArrow(run, "a binary, b binary").distinct()
+    packs = F.pmod(F.hash("bk"), F.lit(max(1, -(-members.count() // PACK)))).cast("long")
+    placed = members.join(sizes, "bk").withColumn("tiles", F.ceil(F.col("m") / PACK).cast("int"))
+    placed = placed.withColumn("pack", F.when(F.col("tiles") > 1, F.col("bk")).otherwise(packs)).withColumn("tile", F.when(F.col("tiles") > 1, F.pmod(F.hash("th"), F.col("tiles"))).otherwise(0))
+    rows = placed.select("pack", F.col("tiles").alias("alone"), "bk", "th", "sig", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("pack", "alone", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "bk", "th", "sig", "tile")
+    return rows.groupBy("pack", "alone", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def overlaps(texts: list[str]) -> np.ndarray:
@@ -251,11 +261,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = Fals
     rows = hashed.where(F.col(name["_th"]).isNotNull()).select(F.col(name["_th"]).alias("th"), "doc_id", "text")
     nodes = cut(sketch(rows, "th", "text").groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = nodes.select("th", F.posexplode("bands").alias("band", "bk")).withColumn("r", F.xxhash64("th", "bk"))
-    crowded = buckets.groupBy("bk").agg(F.count("*").alias("m")).where("m > 1").select("bk")
+    crowded = buckets.groupBy("bk").agg(F.count("*").alias("m"), F.min("th").alias("c")).where("m > 1")
     buckets = cut(buckets.join(crowded, "bk"))
-    least = buckets.groupBy("bk").agg(F.min("th").alias("c"))
-    star = buckets.join(least, "bk").where("c <> th").select(F.col("c").alias("a"), F.col("th").alias("b"))
-    before = F.lag("th").over(Window.partitionBy("bk").orderBy("r", "th"))
+    star = buckets.where("c <> th").select(F.col("c").alias("a"), F.col("th").alias("b"))
+    salt = F.pmod(F.hash("r"), F.ceil(F.col("m") / PACK).cast("int"))  # no window holds more than some PACK members of a bucket
+    before = F.lag("th").over(Window.partitionBy("bk", salt).orderBy("r", "th"))
     chain = buckets.where(F.col("band") < CHAINED).select("th", before.alias("p")).where("p IS NOT NULL AND p <> th").select(F.least("th", "p").alias("a"), F.greatest("th", "p").alias("b"))
     pairs = star.union(chain).distinct()
     paired = buckets.select("th").distinct().join(nodes.select("th", "first_id"), "th")
@@ -285,6 +295,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, one_each: bool = Fals
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """The class of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
