@@ -138,10 +138,29 @@ def test_toxicity_of_unseen_texts(spark, prose):
     assert toxicity.score(new.limit(3), one_class, spans=False).count() == 3
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200.0, 250 / 3, 500 / 3]
-    assert mixing.targets([10, 1000], [3, 1]) == [20.0, 1495.0]
-    assert mixing.targets([0, 0], [3, 1]) == [0.0, 0.0] and mixing.targets([], []) == []
+def targets(sizes, weights, share=1.5, repeats=2):
+    """Brute force: what is above a cap goes to the others by weight until none is."""
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while free:
+        weight = sum(weights[i] for i in free)
+        over = [i for i in sorted(free) if left * weights[i] / weight > repeats * sizes[i]]
+        if not over:
+            for i in free:
+                out[i] = left * weights[i] / weight
+            break
+        for i in over:
+            out[i] = float(repeats * sizes[i])
+            left -= out[i]
+            free.remove(i)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000], [0, 0], [], [5, 7, 900, 30, 2, 0, 41, 8000], [3]])
+def test_targets_equal_brute_force(spark, sizes):
+    weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+    each = mixing.level(spark.createDataFrame(list(zip(sizes, weights)), "source_size long, weight double"))
+    got = [2.0 * s if each is None else min(2.0 * s, each * w) for s, w in zip(sizes, weights)]
+    assert got == pytest.approx(targets(sizes, weights))
 
 
 def test_splitting_tree_is_exact():
@@ -165,7 +184,7 @@ def test_mix_meets_its_targets(spark, prose):
         taken[r["source"]] += r["_size"] * len(r["draws"])
         target[r["source"]] = r["target"]
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    assert [target[n] for n in names] == pytest.approx(mixing.targets([sizes[n] for n in names], [3, 1, 2, 3, 1][: len(names)]))
+    assert [target[n] for n in names] == pytest.approx(targets([sizes[n] for n in names], [3, 1, 2, 3, 1][: len(names)]))
     for n in names:
         assert abs(taken[n] - target[n]) <= max(5, 0.01 * target[n]), n
     key = lambda r: (r["doc_id"], str(r["draws"]))
