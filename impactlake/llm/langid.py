@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fresh, held_out, mix64, table
+from .common import cut, fresh, held_out, mix64, table
 from .textarrays import codes_of, lowered, parts
 
 #: Hash buckets of n-grams.
 BUCKETS = 8192
-#: Labelled rows that training sees at most (1.25 times as many in the worst case).
+#: Labelled rows whose vectors training clusters, in equal parts for the languages (twice as many at most).
 SAMPLE_ROWS = 3000
+#: Texts whose bucket counts are held at once.
+SLICE = 64
 CLUSTERS = 4
 #: Part of a cluster's training texts that its radius leaves out.
 OUTSIDE = 0.005
@@ -81,9 +83,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(tf: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model:
-    """A model from bucket counts and their languages."""
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
+def fit(tf: np.ndarray, langs: list[str], idf: np.ndarray | None = None, clusters: int = CLUSTERS) -> Model:
+    """A model from bucket counts and their languages; idf is theirs unless it is given."""
+    idf = weights((tf > 0).sum(axis=0), len(tf)) if idf is None else idf
     model = Model(idf, np.zeros((0, tf.shape[1]), np.float32), [], np.zeros(0))
     if not langs:
         return model
@@ -98,33 +100,69 @@ def fit(tf: np.ndarray, langs: list[str], clusters: int = CLUSTERS) -> Model:
     return model
 
 
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies of buckets that df of n texts hold."""
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
+def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """How many of all texts hold each bucket, and the number of texts with a letter; a task gives its sums."""
+
+    def run(batches):
+        held, some = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for _, texts in parts(batch, text_col, 200_000):
+                for k in range(0, len(texts), SLICE):
+                    tf, n = counts([t or "" for t in texts[k : k + SLICE]])
+                    held += (tf > 0).sum(axis=0)
+                    some += int((n > 0).sum())
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(held[at], some))], names=["at", "n"])
+
+    got = docs.select(text_col).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row a bucket
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for r in got:
+        out[r["at"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from a bounded sample of the rows that have a language and a text with a letter."""
-    labelled = bounded_sample(docs.where(F.col(lang_col).isNotNull()).select(key_col, lang_col), F.col(key_col), rows, 3)
-    chosen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    chosen = chosen.join(F.broadcast(labelled.select(F.col(key_col).alias("_k")).distinct()), "_k", "left_semi").select("_t", "_l").limit(2 * rows)
+    """Learns from a bounded sample of the rows that have a language and a text with a letter, as many of each language; weights cover all of them.
+
+    A language of fewer rows than its part of the sample gives all of them, so none goes unlearned.
+    """
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    df, n = frequencies(own, "_t")
+    sizes = cut(own.groupBy("_l").agg(F.count("*").alias("_n")))
+    each = max(1, rows // max(1, sizes.count()))
+    rank = F.pmod(F.xxhash64(F.lit(3), "_k"), F.lit(1_000_000))
+    keep = (F.col("_n") <= each) | (rank < F.ceil(F.lit(1e6 * each) / F.col("_n")))
+    chosen = own.join(sizes, "_l").where(keep).select("_t", "_l").limit(2 * rows)
 
     def sparse(batches):
         for batch in batches:
             for part, texts in parts(batch, "_t", 200_000):
-                tf, n = counts(texts)
-                for row, lang, some in zip(tf, part.column(1).to_pylist(), n > 0, strict=True):
-                    if some:
-                        at = np.flatnonzero(row)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([row[at].astype(np.int32)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
+                for k in range(0, len(texts), SLICE):
+                    tf, n = counts(texts[k : k + SLICE])
+                    for row, lang, some in zip(tf, part.column(1).slice(k, SLICE).to_pylist(), n > 0, strict=True):
+                        if some:
+                            at = np.flatnonzero(row)
+                            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([row[at].astype(np.int32)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
 
     got = chosen.mapInArrow(sparse, "lang string, at array<int>, n array<int>").toArrow()
     tf = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for i, (at, n) in enumerate(zip(got.column(1), got.column(2), strict=True)):
-        tf[i, at.values.to_numpy()] = n.values.to_numpy()
-    return fit(tf, got.column(0).to_pylist())
+    for i, (at, n_at) in enumerate(zip(got.column(1), got.column(2), strict=True)):
+        tf[i, at.values.to_numpy()] = n_at.values.to_numpy()
+    langs = got.column(0).to_pylist()
+    order = np.lexsort((tf @ np.arange(1, BUCKETS + 1, dtype=np.float32), np.array(langs, str))) if langs else []  # the same model whatever the order of rows
+    return fit(tf[order] if langs else tf, [langs[i] for i in order], weights(df, n))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred (nearest), score (cosine, 0 to 1) and rejected (clashing names get underscores in front).
 
     A null text, or one without a letter, is `und` with score 0 and is rejected; so is all text when nothing was learned.
-    Long texts are read whole. Of equally near centroids the first wins, in the languages' order.
+    Long texts are read whole; an empty table gives an empty one. Of equally near centroids the first wins, in the languages' order.
     """
     name = fresh(docs, "lang_pred", "score", "rejected")
     schema = T.StructType(docs.schema.fields + [T.StructField(name["lang_pred"], T.StringType()), T.StructField(name["score"], T.DoubleType()), T.StructField(name["rejected"], T.BooleanType())])
@@ -136,8 +174,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part, texts in parts(batch, text_col, 200_000):
                 best, score, n = [], [], []
-                for k in range(0, len(texts), 64):
-                    tf, letters_in = counts([t or "" for t in texts[k : k + 64]])
+                for k in range(0, len(texts), SLICE):
+                    tf, letters_in = counts([t or "" for t in texts[k : k + SLICE]])
                     b, s = m.nearest(tf) if m.langs else (np.full(len(tf), -1), np.zeros(len(tf)))
                     best.append(np.where(letters_in > 0, b, -1))
                     score.append(np.where(letters_in > 0, np.clip(s, 0, 1), 0).astype(float))
@@ -149,6 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
