@@ -2,8 +2,8 @@
 
 Each page becomes a request, a response (or a revisit of an equal payload) and a metadata record, tied
 by WARC-Concurrent-To. Records are rows of text that Spark's own writer puts into gzip files, a blank line
-after each, so the archive goes to any store and survives lost executors. Reading takes whole files, each
-of a bounded number of records, and follows Content-Length. Assembly joins the records of a
+after each, so the archive goes to any store and survives lost executors. Reading streams through the files
+line by line and follows Content-Length. Assembly joins the records of a
 transaction through their concurrent-to identifiers and emits one nested row a capture.
 """
 
@@ -100,77 +100,143 @@ def to_records(captures: DataFrame) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Writes gzip files of records under path. Null html is an empty payload, a null url an empty one; all rows are written."""
+    """Writes gzip files of records under path. Null html is an empty payload, a null url an empty one; all rows are written.
+
+    Of rows with equal payloads that with the smallest page_id is the response (null ids come last; rows that repeat an id are all responses of it).
+    Extra columns are left out. An empty table writes no record. Payloads may be as long as a row of Spark's holds.
+    """
     records = to_records(plan_captures(pages, min_revisit_bytes))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
 RECORD_SCHEMA = "type string, record_id string, concurrent_to string, target_uri string, date string, refers_to_id string, digest string, payload_bytes long, page_id long, refers_to long, payload binary"
+#: The type of what should be a record but has no end of its header, no valid Content-Length, or fewer bytes than that tells.
+DAMAGED = "damaged"
 
 
-def parse(data: bytes):
-    """The records of one archive's bytes, gzip (one or many members) or plain: (headers in lower case, block)."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest:
-            d = zlib.decompressobj(31)
-            out.append(d.decompress(rest) + d.flush())
-            rest = d.unused_data
-        data = b"".join(out)
-    at = 0
-    while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def read_records(spark, path: str, payload: bool = True) -> DataFrame:
-    """One row a record of the archives under path; payload holds a response's bytes, if asked for."""
+def records(lines):
+    """(headers in lower case, block) of each record, from (file, line) in order; lines were separated by CRLF.
+
+    Only the record at hand is held. One that is damaged gives its headers so far with the type DAMAGED and the bytes read, and reading
+    goes on at the next line that begins a record. Files never share a record.
+    """
+    at, head, size, got, block = None, None, -1, 0, []
+
+    def end(whole: bool):
+        return (head if whole else head | {"warc-type": DAMAGED}), b"".join(block)[: size if size >= 0 else None]
+
+    for file, line in lines:
+        if file != at:
+            if head is not None:
+                yield end(False)
+            at, head, size = file, None, -1
+        if head is not None and size >= 0:
+            block.append(line + b"\r\n")
+            got += len(line) + 2
+        elif line.startswith(b"WARC/"):
+            if head is not None:
+                yield end(False)
+            head, got, block = {}, 0, []
+        elif head is not None and line:
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            head[key.strip().lower()] = value.strip()
+        elif head is not None:
+            told = head.get("content-length", "")
+            if not (told.isascii() and told.isdigit()):
+                yield end(False)
+                head = None
+                continue
+            size = int(told)
+        if head is not None and 0 <= size <= got:
+            yield end(True)
+            head, size = None, -1
+    if head is not None:
+        yield end(False)
+
+
+def inflate(data: bytes) -> bytes:
+    """The bytes of a gzip file of one or many members, or the data itself; what a broken member still gives is kept."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(data) + d.flush())
+        except zlib.error:
+            break
+        data = d.unused_data
+    return b"".join(out) if out else data
 
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                rows = []
-                for head, block in parse(data.as_py()):
-                    row = dict.fromkeys(("type", "record_id", "concurrent_to", "target_uri", "date", "refers_to_id", "digest", "payload_bytes", "page_id", "refers_to", "payload"))
-                    row |= {"type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to_id": head.get("warc-refers-to")}
-                    if row["type"] in ("response", "revisit"):
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        if row["type"] == "response":
-                            row["digest"] = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                            row["payload_bytes"], row["payload"] = len(body), body if payload else None
-                        else:
-                            row["digest"] = (head.get("warc-payload-digest") or "").rpartition(":")[2]
-                            sizes = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                            row["payload_bytes"] = int(sizes[0]) if sizes else None
-                    elif row["type"] == "metadata":
-                        told = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
-                        row["page_id"] = int(told["pageId"]) if told.get("pageId") else None
-                        row["refers_to"] = int(told["revisitOf"]) if told.get("revisitOf") else None
-                    rows.append(row)
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
 
+def parse(data: bytes):
+    """The records of one archive's bytes, gzip (one or many members) or plain."""
+    yield from records((0, line) for line in inflate(data).split(b"\r\n"))
+
+
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.lstrip("-").isascii() and text.lstrip("-").isdigit() else None
+
+
+def _row(head: dict, block: bytes, payload: bool) -> dict:
+    row = dict.fromkeys(("type", "record_id", "concurrent_to", "target_uri", "date", "refers_to_id", "digest", "payload_bytes", "page_id", "refers_to", "payload"))
+    row |= {"type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to_id": head.get("warc-refers-to")}
+    if row["type"] == "response":
+        body = block.partition(b"\r\n\r\n")[2]
+        row["digest"] = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        row["payload_bytes"], row["payload"] = len(body), body if payload else None
+    elif row["type"] == "revisit":
+        row["digest"] = (head.get("warc-payload-digest") or "").rpartition(":")[2]
+        sizes = [x.partition(b":")[2] for x in block.partition(b"\r\n\r\n")[0].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        row["payload_bytes"] = _number(sizes[0].decode("ascii", "replace")) if sizes else None
+    elif row["type"] == "metadata":
+        told = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
+        row["page_id"], row["refers_to"] = _number(told.get("pageId")), _number(told.get("revisitOf"))
+    elif row["type"] == DAMAGED:
+        row["payload"] = block if payload else None
+    return row
+
+
+def read_records(spark, path: str, payload: bool = True, whole: bool = False) -> DataFrame:
+    """One row a record of the archives under path; payload holds a response's bytes, if asked for.
+
+    gzip files are read as a stream of lines, so a file may be of any size and a task holds the record at hand (a payload of up to 2 GB, as Spark's rows
+    allow). Plain archives, which Spark would cut between tasks, are read with `whole`, a file at a time. Damaged records are rows of type DAMAGED;
+    empty files give none.
+    """
     s, i = pa.string(), pa.int64()
     schema = pa.schema([("type", s), ("record_id", s), ("concurrent_to", s), ("target_uri", s), ("date", s), ("refers_to_id", s), ("digest", s), ("payload_bytes", i), ("page_id", i), ("refers_to", i), ("payload", pa.binary())])
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+
+    def batched(found):
+        rows, held = [], 0
+        for head, block in found:
+            rows.append(_row(head, block, payload))
+            held += len(block) if payload else 0
+            if len(rows) == 500 or held > 16_000_000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def run(batches):
+        if whole:
+            yield from batched(r for batch in batches for data in batch.column(0) for r in parse(data.as_py()))
+        else:
+            yield from batched(records((f, v.as_py()) for batch in batches for f, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)))
+
+    if whole:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+    lines = spark.read.option("lineSep", "\r\n").text(path)
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(run, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
     """One row a capture: capture_id and the structs request, response and metadata (null where a record is missing).
 
     A request or metadata record belongs to the record that it names as concurrent; a response or revisit to itself. Captures
-    that were written more than once, from repeated rows, come back as often.
+    that were written more than once, from repeated rows, come back as often. Records of other types, and damaged ones, belong to none; extra
+    columns are left out, whatever their names. Of two equal records either is taken. An empty table gives an empty one.
     """
+    records = records.where(F.col("type").isin("request", "response", "revisit", "metadata"))
     fields = ["type", "record_id", "target_uri", "date"]
     main = F.col("type").isin("response", "revisit")
     of = {"request": (F.col("type") == "request", fields), "response": (main, fields + ["digest", "payload_bytes", "refers_to_id"] + ["payload"] * payload), "metadata": (F.col("type") == "metadata", fields + ["page_id", "refers_to"])}
@@ -182,6 +248,7 @@ def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
+    """Captures of all pages, written as an archive and read back from it."""
     path = scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
     out = assemble(read_records(spark, path, payload=False), payload=False)

@@ -163,3 +163,29 @@ def test_parser_reads_members_and_plain_bytes():
     record = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     for data in (record * 2, gzip.compress(record) + gzip.compress(record), gzip.compress(record * 2)):
         assert [(h["warc-type"], b) for h, b in warc.parse(data)] == [("warcinfo", b"hello")] * 2
+
+
+WHOLE = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 26\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\nx\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    "bad, seen",
+    [
+        (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Le", ("damaged", b"")),
+        (b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n", ("damaged", b"")),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: ten\r\n\r\n0123456789\r\n\r\n", ("damaged", b"")),
+        (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\nshort", ("damaged", b"short\r\n")),
+    ],
+)
+def test_damaged_records_are_told(spark, tmp_path, bad, seen):
+    got = [(h["warc-type"], b) for h, b in warc.parse(WHOLE + bad)]
+    assert got == [("response", b"HTTP/1.1 200 OK\r\n\r\nbody\r\nx"), seen]
+    if seen[1] == b"":  # reading goes on behind it
+        assert [h["warc-type"] for h, _ in warc.parse(bad + b"\r\n" + WHOLE)] == ["damaged", "response"]
+    for name, data, whole in (("a.warc.gz", gzip.compress(WHOLE) + gzip.compress(bad), False), ("b.warc", WHOLE + bad, True)):
+        (tmp_path / name).write_bytes(data)
+        rows = warc.read_records(spark, str(tmp_path / name), whole=whole).collect()
+        assert [r["type"] for r in rows] == ["response", "damaged"] and rows[0]["payload"] == b"body\r\nx"
+        assert warc.assemble(warc.read_records(spark, str(tmp_path / name), whole=whole)).count() == 1
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(WHOLE + bad)[:-12])
+    assert [h["warc-type"] for h, _ in warc.parse(gzip.compress(WHOLE * 50)[:-9])][:1] == ["response"]
