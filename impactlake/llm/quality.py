@@ -205,7 +205,7 @@ def judge(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """The rows with the counts, base_failed, quality_score and kept (clashing names get underscores in front).
 
     A null or empty text has no words, so the base rules reject it. Whole texts count, however long; repeated rows get
-    equal verdicts.
+    equal verdicts, and an empty table gives an empty one.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]
     kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
@@ -227,6 +227,7 @@ def judge(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every whole text, learned from labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = train(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return judge(docs, trees).drop("text")

@@ -384,7 +384,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
                     whole, at = values.tolist(), at.tolist()
                     columns.append(pa.array([None if t is None else c.decode(whole[x:y]) for t, x, y in zip(raw, at, at[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        c.forget()  # workers live on; later stages need the memory
+        c.forget()
 
     return base.mapInArrow(run, schema)
 
