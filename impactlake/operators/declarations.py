@@ -11,7 +11,9 @@ _DEFINE = re.compile(r"^\s*#\s*define\s+([A-Za-z_]\w*)(\s*\(([^)]*)\))?\s*(.*)$"
 _TAG = re.compile(r"\b(?:struct|class)\s+([A-Za-z_]\w*)")
 _DECLARED = re.compile(r"(?:^|[*\s])([A-Za-z_]\w*)\s*(\[[^\]]*\])?\s*(?::\s*\d+)?\s*$")
 _SIGNATURE = re.compile(r"([~A-Za-z_]\w*(?:::[~A-Za-z_]\w*)?)\s*\([^(){};]*\)\s*(?:const)?\s*$")
-_NO_GLOBAL = re.compile(r"[()]|^(?:return|typedef|using|namespace|if|else|for|while|switch|case|goto|break|continue|#)\b|\b(?:struct|class|enum|union)\s")
+#: A statement that begins with one of these, or holds it between spaces, declares no global.
+NO_GLOBAL = ("typedef", "using", "return", "goto", "break", "continue", "struct", "class", "enum", "namespace")
+_TYPE_BLOCK = re.compile(r"typedef (?:struct|class)|(?:struct|class) ")
 _TYPE_WORDS = frozenset("extern static const volatile register struct class unsigned signed".split())
 
 
@@ -37,6 +39,11 @@ def declared(text: str) -> tuple[str, bool, int] | None:
     return (m[1], bool(m[2]), text.count("*")) if m and m[1] not in KEYWORDS else None
 
 
+def is_no_global(statement: str) -> bool:
+    """Whether a statement (white space squeezed) outside functions is passed over: with brackets, a directive, or with a word of NO_GLOBAL."""
+    return statement.startswith(("#", *NO_GLOBAL)) or "(" in statement or ")" in statement or any(f" {word} " in statement for word in NO_GLOBAL)
+
+
 def macros(raw: list[str], active: list[str]) -> list[dict]:
     out = []
     for i, (r, a) in enumerate(zip(raw, active, strict=True), 1):
@@ -131,7 +138,7 @@ def globals_(active: list[str], ranges: list[tuple[int, int]]) -> list[dict]:
         text = line.strip()
         if not text or i in covered or text.startswith("#"):
             continue
-        opens_type = not gathered and depth <= 0 and not waiting and re.match(r"(?:typedef\s+)?(?:struct|class)\s", text)
+        opens_type = not gathered and depth <= 0 and not waiting and _TYPE_BLOCK.match(text)
         if depth > 0 or waiting or opens_type:
             depth += braces(line)
             waiting = depth <= 0 and ";" not in text and (waiting or bool(opens_type) or depth == 0)
@@ -143,10 +150,10 @@ def globals_(active: list[str], ranges: list[tuple[int, int]]) -> list[dict]:
         if ";" not in gathered:
             continue
         for statement in gathered.split(";"):
-            flat = " ".join(statement.split())
-            if not flat:
+            if not statement:
                 break
-            if _NO_GLOBAL.search(flat):
+            flat = " ".join(statement.split())
+            if is_no_global(flat):
                 continue
             declarator = flat.split("=")[0].strip()
             if d := declared(declarator):
