@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Callable
 
@@ -82,10 +83,10 @@ def evaluate(expression: str, macros: dict[str, str]) -> bool:
     return bool(either())
 
 
-def active_lines(raw: list[str], masked: list[str], macros: dict[str, str], load: Callable[[str, bool], tuple[str, list[str], list[str]] | None] | None = None, stack: tuple[str, ...] = ()) -> list[str]:
+def active_lines(raw: list[str], masked: list[str], macros: dict[str, str], load: Callable[[str, bool, str], tuple[str, list[str], list[str]] | None] | None = None, stack: tuple[str, ...] = (), where: str = "") -> list[str]:
     """The masked lines with inactive ones blank. `macros` is changed by #define and #undef of active lines.
 
-    load(name, quoted) finds an included header as (key, raw lines, masked lines); headers only change macros. Headers in
+    load(name, quoted, where) finds what the file `where` includes as (path, raw lines, masked lines); headers only change macros. Headers in
     the stack and beyond MOST_DEPTH are passed over.
     """
     out: list[str] = []
@@ -118,14 +119,25 @@ def active_lines(raw: list[str], masked: list[str], macros: dict[str, str], load
             elif word == "undef" and rest.split():
                 macros.pop(rest.split()[0], None)
             elif word == "include" and load and len(stack) < MOST_DEPTH and (i := _INCLUDE.match(line)):
-                found = load(i[1] or i[2], i[1] is not None)
+                found = load((i[1] or i[2]).strip(), i[1] is not None, where)
                 if found and found[0].lower() not in stack:
-                    active_lines(found[1], found[2], macros, load, (*stack, found[0].lower()))
+                    active_lines(found[1], found[2], macros, load, (*stack, found[0].lower()), found[0])
         else:
             out.append(" " * len(own))
     return out
 
 
+def candidates(name: str, quoted: bool, where: str, include_paths: tuple[str, ...] | list[str] = ()) -> list[str]:
+    """Keys of the files that an include may mean, in order: beside the file that includes it if quoted, then in the include paths."""
+    folders = [posixpath.dirname(where.replace("\\", "/"))] if quoted else []
+    return [path_key(posixpath.join(folder, name.replace("\\", "/"))) for folder in [*folders, *(p.replace("\\", "/") for p in include_paths)]]
+
+
+def path_key(path: str) -> str:
+    """A path as files are looked up by: with / and without steps back, in lower case."""
+    return posixpath.normpath(path.replace("\\", "/")).lower()
+
+
 def includes(raw: list[str], active: list[str]) -> list[tuple[str, bool]]:
     """(name, quoted) of the active #include lines."""
     found = (_INCLUDE.match(r) for r, a in zip(raw, active, strict=True) if a.strip())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import direct_parent, normalize_index
+from ..functions.text import direct_parent, member_path, normalize_index
 
 UNCLASSIFIED = "<unclassified>"
 #: Rule codes and severities, in order.
@@ -74,6 +74,47 @@ def matching(access: DataFrame, symbols: DataFrame) -> DataFrame:
     return keyed.join(symbols.select("symbol").distinct(), "symbol")
 
 
+#: Symbols that go into a filter, which reaches the files' statistics; more are joined.
+MOST_PUSHED = 500
+
+
+def touching(access: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Accesses whose variable or target is one of the symbols, each once. Few symbols become a filter that the scan sees; many a semi-join on exploded keys."""
+    few = [r["symbol"] for r in symbols.select("symbol").distinct().limit(MOST_PUSHED + 1).collect()]
+    if len(few) <= MOST_PUSHED:
+        return access.where(F.col("variable_name").isin(few) | F.col("target_name").isin(few))
+    names = symbols.select(F.col("symbol").alias("_s")).distinct()
+    by_variable = access.join(names, F.col("variable_name") == F.col("_s"), "left_semi")
+    rest = access.join(names, F.col("variable_name") == F.col("_s"), "left_anti")
+    return by_variable.unionByName(rest.join(names, F.col("target_name") == F.col("_s"), "left_semi"))
+
+
+def topology(unresolved: DataFrame) -> DataFrame:
+    """Rows that bear on calls."""
+    return unresolved.where(F.col("kind").isin(*TOPOLOGY))
+
+
+def inferred_members(symbols: DataFrame, access: DataFrame, unresolved: DataFrame, globals_: DataFrame, members: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol, name) of the typed members that selections mean (p->x: T::x), and of the actual members that stand for these (g.x).
+
+    A selection that is no declared data means the typed names whose member path is its own and whose text, white space and indexes aside,
+    holds it; accesses and undecided member accesses both tell. A typed name means itself. The path is an equi-join; the text is looked at only there.
+    """
+    data = globals_.select("name").union(members.select("name")).union(aliases.select("name")).withColumnRenamed("name", "symbol")
+    asked = symbols.select("symbol").distinct()
+    own = asked.where(F.contains("symbol", F.lit("::"))).select("symbol", F.col("symbol").alias("name"))
+    bare = asked.where(~F.contains("symbol", F.lit("::"))).join(data, "symbol", "left_anti").withColumn("needle", normalize_index(F.col("symbol")))
+    bare = bare.withColumn("path", member_path(F.col("needle"))).where("path IS NOT NULL")
+    typed = F.contains("variable_name", F.lit("::"))
+    seen = access.where(typed).select("variable_name", F.coalesce("access_expression", "evidence").alias("said"))
+    seen = seen.unionByName(unresolved.where((F.col("kind") == "unknown-member-access") & typed).select("variable_name", F.col("evidence").alias("said")))
+    seen = seen.distinct().select(F.col("variable_name").alias("name"), member_path(normalize_index(F.col("variable_name"))).alias("path"), normalize_index(F.col("said")).alias("said"))
+    found = bare.join(seen, "path").where(F.contains("said", F.col("needle"))).select("symbol", "name")
+    of_type = own.unionByName(found).distinct()
+    actual = access.where("target_name IS NOT NULL").select(F.col("target_name").alias("name"), F.col("variable_name").alias("_v")).distinct().join(of_type, "name").select("symbol", F.col("_v").alias("name")).distinct()
+    return of_type, actual.join(members.select("name"), "name", "left_semi").select("symbol", "name")
+
+
 def symbol_kind(symbols: DataFrame, globals_: DataFrame, members: DataFrame, macros: DataFrame, functions: DataFrame) -> DataFrame:
     """symbol, symbol_kind: global before member before macro before function, else unknown."""
     ranked = None
@@ -129,6 +170,31 @@ def risks(symbols: DataFrame, access: DataFrame, reach: DataFrame, unresolved: D
     return all_in.select("symbol", n("n_acc").cast("long").alias("n_accesses"), F.explode(rows).alias("x")).where("x.on").select("symbol", "x.rank", "x.code", "x.severity", "n_accesses")
 
 
+def risk_evidence(access: DataFrame, unresolved: DataFrame, most: int) -> DataFrame:
+    """symbol, code, rank, file, line: up to `most` places that speak for each rule, whether it applies or not.
+
+    access: symbol, function_name, seq, kind, file, line; unresolved: symbol, kind, function_name, file, line. Writes come before reads, accesses before
+    undecided places, and then functions in the order of their names (by the collation of people, not of code points). A place counts once.
+    """
+    rules = {
+        "MULTI_THREAD_WRITE": [(F.col("kind") == "write", 0)],
+        "CROSS_THREAD_READ_WRITE": [(F.col("kind") == "write", 0), (F.col("kind") == "read", 1)],
+        "INTERRUPT_CONTEXT": [(F.lit(True), 0)],
+        "UNRESOLVED_ACCESS": [(F.col("kind") == "unknown", 0)],
+    }
+    codes = lambda tests: F.explode(F.filter(F.array(*[F.when(t, F.struct(F.lit(code).alias("code"), F.lit(part).alias("part"))) for code, ts in tests.items() for t, part in ts]), lambda x: x.isNotNull())).alias("x")
+    noted = {"UNRESOLVED_ACCESS": [(F.lit(True), 1)], "POINTER_ALIAS": [(F.col("kind") == "address-taken", 0)], "FUNCTION_POINTER": [(F.col("kind") == "function-pointer", 0)]}
+    a = access.select("symbol", "function_name", "seq", "file", "line", codes(rules))
+    u = unresolved.select("symbol", "function_name", F.lit(0).alias("seq"), "file", "line", codes(noted))
+    rows = a.unionByName(u).select("symbol", "x.code", "x.part", by_name("function_name").alias("by"), F.col("function_name").alias("fn"), "seq", "file", "line")
+    return top_evidence(rows, ["symbol", "code"], ["file", "line"], ["part", "by", "fn", "seq", "file", "line"], most).select("symbol", "code", "rank", "file", "line")
+
+
+def by_name(column: str) -> Column:
+    """A key that sorts names as people do, by the Unicode collation."""
+    return F.collate(F.col(column), "UNICODE")
+
+
 def top_evidence(rows: DataFrame, keys: list, place: list, order: list, most: int) -> DataFrame:
     """The first `most` places of each key, in order, one row a place."""
     once = keep_first(rows, keys + place, order)

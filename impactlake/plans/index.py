@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accesses, declarations, lexer, preprocess
+from ..scratch import cut
 from . import impact
 from .graph import reachability
 
@@ -32,54 +33,55 @@ def _base(path: str) -> str:
     return path.replace("\\", "/").split("/")[-1].lower()
 
 
-def _lines(text: str, macros: dict[str, str], headers: dict[str, str]) -> tuple[list[str], list[str]]:
+def _lines(path: str, text: str, macros: dict[str, str], headers: dict[str, str], include_paths: tuple[str, ...]) -> tuple[list[str], list[str]]:
     raw = lexer.split_lines(text)
-    cache: dict[str, tuple] = {}
 
-    def load(name: str, quoted: bool):
-        key = _base(name)
-        if key not in cache and key in headers:
+    def load(name: str, quoted: bool, where: str):
+        key = next((k for k in preprocess.candidates(name, quoted, where, include_paths) if k in headers), None)
+        if key is not None:
             own = headers[key].split("\n")
-            cache[key] = key, own, own
-        return cache.get(key)
+            return key, own, own
 
-    return raw, preprocess.active_lines(raw, lexer.mask(raw), dict(macros), load)
+    return raw, preprocess.active_lines(raw, lexer.mask(raw), dict(macros), load, (preprocess.path_key(path),), path)
+
+
+def _included(text) -> F.Column:
+    """Base names, in lower case, of all that a text includes."""
+    named = F.regexp_extract_all(text, F.lit(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)"), F.lit(1))
+    return F.transform(named, lambda n: F.lower(F.trim(F.substring_index(F.replace(n, F.lit("\\"), F.lit("/")), "/", -1))))
 
 
 def directives(files: DataFrame) -> DataFrame:
-    """key, lines, names for each header: its base name, its directives (comments blank), and the base names it includes; the first file of a name wins."""
+    """key, path, lines, names of each file that some file may include: its base name, its path, its directives (comments blank), and the base names it includes."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for path, ordinal, text in zip(batch["path"], batch["ordinal"], batch["text"]):
+            for path, text in zip(batch["path"], batch["text"]):
                 raw = lexer.split_lines(text or "")
                 kept = [r if "include" in m else m for r, m in zip(raw, lexer.mask(raw)) if m.lstrip().startswith("#")]
-                rows.append((_base(path), ordinal, path, "\n".join(kept), [_base(n) for n, _ in preprocess.includes(kept, kept)]))
-            yield pd.DataFrame(rows, columns=["key", "ordinal", "path", "lines", "names"])
+                rows.append((_base(path), preprocess.path_key(path), "\n".join(kept), [_base(n) for n, _ in preprocess.includes(kept, kept)]))
+            yield pd.DataFrame(rows, columns=["key", "path", "lines", "names"])
 
-    headers = files.where(F.lower("path").rlike(r"\.(h|hh|hpp|hxx|inl)$")).select("path", "ordinal", "text")
-    found = headers.mapInPandas(run, "key string, ordinal long, path string, lines string, names array<string>")
-    return impact.keep_first(found, ["key"], ["ordinal", "path"]).select("key", "lines", "names")
+    named = files.select(F.explode(_included("text")).alias("key")).distinct()
+    base = F.lower(F.substring_index(F.replace("path", F.lit("\\"), F.lit("/")), "/", -1))
+    wanted = files.select("path", "text", base.alias("key")).join(named, "key", "left_semi").select("path", "text")
+    return wanted.mapInPandas(run, "key string, path string, lines string, names array<string>").dropDuplicates(["path"])
 
 
 def with_headers(files: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, dict[str, str]]:
     """The files, and the directives of all headers where they are small; else the files have what they include in a map column, headers."""
-    from .graph import cut
-
     found = cut(directives(files))
     size = found.agg(F.coalesce(F.sum(F.octet_length("lines")), F.lit(0)).alias("n")).first()["n"]
     if size <= most:
-        return files, {r["key"]: r["lines"] for r in found.select("key", "lines").collect()}
-    named = F.regexp_extract_all("text", F.lit(r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)"), F.lit(1))
-    base = F.explode(F.transform(named, lambda n: F.lower(F.substring_index(F.replace(n, F.lit("\\"), F.lit("/")), "/", -1))))
-    need = cut(files.select("path", base.alias("key")).distinct().join(found.select("key"), "key", "left_semi"))
+        return files, {r["path"]: r["lines"] for r in found.select("path", "lines").collect()}
+    need = cut(files.select("path", F.explode(_included("text")).alias("key")).distinct().join(found.select("key").distinct(), "key", "left_semi"))
     front = need
     while not front.isEmpty():
-        further = front.join(found, "key").select("path", F.explode("names").alias("key")).distinct().join(found.select("key"), "key", "left_semi")
+        further = front.join(found.select("key", "names"), "key").select("path", F.explode("names").alias("key")).distinct().join(found.select("key").distinct(), "key", "left_semi")
         front = cut(further.join(need, ["path", "key"], "left_anti"))
         need = cut(need.unionByName(front))
-    own = need.join(found, "key").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "lines"))).alias("headers"))
+    own = need.join(found.select("key", F.col("path").alias("header"), "lines"), "key").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("header", "lines"))).alias("headers"))
     return files.join(own, "path", "left"), {}
 
 
@@ -93,7 +95,7 @@ def _carried(files: DataFrame, *columns: str) -> DataFrame:
     return files.select(*columns, *(c for c in ("headers", "context") if c in files.columns))
 
 
-def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str]) -> DataFrame:
+def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str], include_paths: tuple[str, ...] = ()) -> DataFrame:
     """Rows of DECLARED for files (path, ordinal, text); a file that fails gives one row that says why."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers))
 
@@ -103,7 +105,7 @@ def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str]) -
             rows = []
             for path, ordinal, text, own_headers in zip(batch["path"], batch["ordinal"], batch["text"], _headers_of(batch, shared)):
                 try:
-                    raw, active = _lines(text or "", own_macros, own_headers)
+                    raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
                     found = declarations.functions(raw, active)
                     parts = [("macro", d) for d in declarations.macros(raw, active)] + [("type", d) for d in declarations.types(raw, active)]
                     parts += [("global", d) for d in declarations.globals_(active, [(f.start_line, f.end_line) for f in found])]
@@ -145,9 +147,9 @@ def aliases_of(macros: list[dict], globals_: set[str], types: dict[str, dict]) -
 
 
 def context_from(rows, dialect: str = "primary") -> accesses.Context:
-    """A context from declarations (kind, ordinal, line, body); the first of a name wins, in file order and then by line."""
+    """A context from declarations (kind, ordinal, path, line, body); the first of a name wins, in file order and then by line."""
     by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": [], "template": []}
-    for kind, _, _, body in sorted(rows, key=lambda r: (r[1], r[2], r[0], r[3])):
+    for kind, _, _, _, body in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0], r[4])):
         by[kind].append(json.loads(body))
     types: dict[str, dict] = {}
     for t in by["type"]:
@@ -175,10 +177,8 @@ def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
     No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, round by round
     until no file gets a new one.
     """
-    from .graph import cut
-
     own = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template"))
-    entry = F.struct("kind", "ordinal", "line", "body")
+    entry = F.struct("kind", "ordinal", "path", "line", "body")
     inner = F.from_json("body", "aliases array<string>, members array<struct<name:string>>")
     names = F.array_distinct(F.concat(F.array(F.substring_index("name", "::", -1), F.col("name")), F.coalesce(inner["aliases"], F.array().cast("array<string>")), F.coalesce(inner["members"]["name"], F.array().cast("array<string>"))))
     keyed = cut(own.select(F.explode(names).alias("key"), entry.alias("entry"), F.xxhash64("kind", "path", "line", "body").alias("id")).distinct())
@@ -191,7 +191,7 @@ def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
     return files.join(need.groupBy("path").agg(F.collect_list("entry").alias("context")), "path", "left")
 
 
-def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary") -> DataFrame:
+def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary", include_paths: tuple[str, ...] = ()) -> DataFrame:
     """Rows of FACT: accesses, calls and unresolved evidence of every function, and a file's macro aliases. Without ctx the files carry their context."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers, ctx))
     columns = [c.split()[0] for c in FACT.split(", ")]
@@ -203,8 +203,8 @@ def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str],
             carried = batch["context"] if whole is None else [None] * len(batch)
             for path, text, own_headers, entries in zip(batch["path"], batch["text"], _headers_of(batch, shared), carried):
                 try:
-                    context = whole or context_from([(e["kind"], e["ordinal"], e["line"], e["body"]) for e in (entries if entries is not None else [])], dialect)
-                    raw, active = _lines(text or "", own_macros, own_headers)
+                    context = whole or context_from([(e["kind"], e["ordinal"], e["path"], e["line"], e["body"]) for e in (entries if entries is not None else [])], dialect)
+                    raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
                     for m in {d["name"] for d in declarations.macros(raw, active)} & context.aliases.keys():
                         rows.append({"kind": "alias", "variable_name": m, "target_name": context.aliases[m]["target_name"], "target_kind": context.aliases[m]["target_kind"], "file": path, "evidence": json.dumps(context.aliases[m])})
                     for f in declarations.functions(raw, active):
@@ -236,26 +236,24 @@ class CodeIndex:
             raise AttributeError(name) from None
 
     @classmethod
-    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, dialect: str = "primary") -> CodeIndex:
-        """files: path, text (and ordinal, else an order by hashes of paths); threads: thread_id, entry_function, is_interrupt_like.
+    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, dialect: str = "primary", include_paths: tuple[str, ...] = ()) -> CodeIndex:
+        """files: path, text (and ordinal, else they go by their paths); threads: thread_id, entry_function, is_interrupt_like.
 
-        Headers that conditional compilation needs are found by their file names among the files. All declarations are broadcast
+        Headers that conditional compilation needs are found among the files: beside the one that includes them, then in include_paths. All declarations are broadcast
         up to broadcast_bytes; a larger code base is joined file by file with what it names. With a path, all tables are written there.
         """
-        from .graph import cut
-
         spark = files.sparkSession
         if "ordinal" not in files.columns:
-            files = files.withColumn("ordinal", F.xxhash64("path"))
+            files = files.withColumn("ordinal", F.lit(0).cast("long"))
         macros = dict(macros or {})
         files, headers = with_headers(files, broadcast_bytes)
-        declared = cut(declare(files, macros, headers))
+        declared = cut(declare(files, macros, headers, include_paths))
         size = declared.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
         if size <= broadcast_bytes:
-            rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "line", "body").collect()
-            facts = cut(walk(files, context_from(map(tuple, rows), dialect), macros, headers, dialect))
+            rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "path", "line", "body").collect()
+            facts = cut(walk(files, context_from(map(tuple, rows), dialect), macros, headers, dialect, include_paths))
         else:
-            facts = cut(walk(with_context(files, declared), None, macros, headers, dialect))
+            facts = cut(walk(with_context(files, declared), None, macros, headers, dialect, include_paths))
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))
         members = "array<struct<name:string,member_type:string,is_array:boolean,pointer_level:int,line:int,declaration:string>>"
         types = body("type", f"name string, aliases array<string>, line int, declaration string, members {members}").select(F.col("path").alias("file"), "ordinal", "b.*")
@@ -277,9 +275,9 @@ class CodeIndex:
         alias = "name string, replacement string, parameters array<string>, is_function_like boolean, target_name string, target_kind string, line int, declaration string"
         t["macro_alias"] = facts.where("kind = 'alias'").select(F.from_json("evidence", alias).alias("a")).select("a.*").distinct()
         typed = types.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name"), "file", "ordinal", "line", "members")
-        typed = impact.keep_first(typed, ["type_name"], ["ordinal", "line"])
+        typed = impact.keep_first(typed, ["type_name"], ["ordinal", "file", "line"])
         named = typed.select("type_name", "file", F.explode("members").alias("m")).select("type_name", "file", "m.name", "m.member_type", "m.is_array", "m.pointer_level", "m.line", "m.declaration")
-        owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
+        owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "file", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
         t["member_symbol"] = impact.member_expansion(owners.select("name", "type_name", "is_array", "pointer_level"), named)
         t["thread_reach"] = reachability(threads, t["call_edge"])
         t["access_index"] = impact.inverted_index(t["access"])
@@ -311,14 +309,13 @@ class Impact:
         self.index, self.symbol, self.depth = index, symbol, depth
         spark, t = index.spark, index.tables
         one = spark.createDataFrame([(symbol,)], "symbol string")
-        name = lambda df: df.select("name")
-        self.kind = impact.symbol_kind(one, name(t["global_var"]), name(t["member_symbol"]), name(t["macro_alias"]), name(t["function"])).first()["symbol_kind"]
-        names = {symbol}
-        if self.kind in ("member", "unknown", "global") and any(x in symbol for x in ("->", ".", "::")):
-            names |= self._inferred()
-        targets = [r["target_name"] for r in t["macro_alias"].where(F.col("name") == symbol).collect()] if self.kind == "macro" else []
-        self.lookup = sorted(names | set(targets))
-        wanted = spark.createDataFrame([(n,) for n in self.lookup], "symbol string")
+        typed, actual = impact.inferred_members(one, t["access"], t["unresolved"].where("scope = 'function'"), t["global_var"], t["member_symbol"], t["macro_alias"])
+        self.lookup = cut(one.unionByName(typed.select(F.col("name").alias("symbol"))).unionByName(actual.select(F.col("name").alias("symbol"))).distinct())
+        self.members = cut(t["member_symbol"].join(self.lookup.join(typed.select(F.col("name").alias("symbol")), "symbol", "left_anti").withColumnRenamed("symbol", "name"), "name", "left_semi").select("name", "file", "line", "declaration").distinct())
+        known = {"global": t["global_var"], "member": self.members, "macro": t["macro_alias"], "function": t["function"]}
+        own = {k: (df if k == "member" else df.where(F.col("name") == symbol)).select(F.lit(symbol).alias("name")) for k, df in known.items()}
+        self.kind = impact.symbol_kind(one, own["global"], own["member"], own["macro"], own["function"]).first()["symbol_kind"]
+        targets = t["macro_alias"].where(F.col("name") == (symbol if self.kind == "macro" else None)).select(F.col("target_name").alias("symbol")).distinct()
         if self.kind == "function":
             seeds = one.select(F.col("symbol").alias("name"))
             ahead, out_edges = neighborhood(t["call_edge"], seeds, depth)
@@ -327,38 +324,38 @@ class Impact:
             self.edges_walked = out_edges.select("caller", "callee").union(in_edges.select("caller", "callee")).distinct()
             self.accesses = t["access"].limit(0)
         else:
-            direct = impact.matching(t["access"], wanted).drop("symbol")
-            by_macro = t["access"].where(F.array_contains("macro_names", symbol)) if self.kind == "macro" else direct.limit(0)
-            self.accesses = direct.unionByName(by_macro).dropDuplicates(["function_name", "seq", "file"])
+            wanted = targets if self.kind == "macro" else self.lookup
+            self.accesses = impact.touching(t["access"], wanted)
+            if self.kind == "macro":
+                by_macro = t["access"].where(F.array_contains("macro_names", symbol))
+                self.accesses = self.accesses.unionByName(by_macro).dropDuplicates(["function_name", "seq", "file"])
+            self.accesses = cut(self.accesses)
             self.names = self.accesses.select(F.col("function_name").alias("name")).distinct()
             self.edges_walked = t["call_edge"].limit(0)
-        self.functions = impact.keep_last(t["function"].join(self.names, "name", "left_semi"), ["name"], ["ordinal", "start_line"])
+        self.names = cut(self.names)
+        self.functions = impact.keep_last(t["function"].join(self.names, "name", "left_semi"), ["name"], ["ordinal", "file", "start_line"])
         self.threads = t["thread_reach"].join(self.names.withColumnRenamed("name", "function_name"), "function_name", "left_semi")
-        own = t["unresolved"].where("scope = 'function'").join(self.names.withColumnRenamed("name", "function_name"), "function_name", "left_semi")
-        both = own.unionByName(t["unresolved"].where("scope = 'file'"))
+        notes_of = t["unresolved"].where("scope = 'function'").join(self.names.withColumnRenamed("name", "function_name"), "function_name", "left_semi")
         if self.kind == "function":
-            notes = own.where(F.col("kind").isin(*impact.TOPOLOGY))
+            notes = impact.topology(notes_of)
         else:
-            asked = spark.createDataFrame([(n, self.kind if n == symbol else "alias") for n in self.lookup], "symbol string, symbol_kind string")
+            both = notes_of.unionByName(t["unresolved"].where("scope = 'file'"))
+            asked = self.lookup.unionByName(targets).distinct().withColumn("symbol_kind", F.when(F.col("symbol") == symbol, F.lit(self.kind)).otherwise(F.lit("alias")))
             notes = impact.relevant_unresolved(asked, both).drop("symbol", "symbol_kind")
-        self.unresolved = impact.dedup_unresolved(notes, ["evidence"])
+        self.unresolved = cut(impact.dedup_unresolved(notes, ["evidence"]))
         mark = F.lit(symbol).alias("symbol")
         rows = self.accesses.select(mark, "function_name", "kind")
         self.risks = impact.risks(spark.createDataFrame([(symbol, self.kind)], "symbol string, symbol_kind string"), rows, t["thread_reach"], self.unresolved.select(mark, "kind")).orderBy("rank")
         decl = t["global_var"].where(F.col("name") == symbol).select(F.lit("global").alias("kind"), "name", "file", "line", "declaration")
         macro = t["macro_def"].where(F.col("name") == symbol).select(F.lit("macro").alias("kind"), "name", "file", "line", "declaration")
         fn = t["function"].where(F.col("name") == symbol).select(F.lit("function").alias("kind"), "name", "file", F.col("start_line").alias("line"), F.col("signature").alias("declaration"))
-        member = t["member_symbol"].where(F.col("name") == symbol).select(F.lit("member").alias("kind"), "name", "file", "line", "declaration").distinct()
-        self.declarations = decl.unionByName(member).unionByName(macro).unionByName(fn)
-
-    def _inferred(self) -> set[str]:
-        """Typed names of accesses whose expression holds the selection, and the names that share those types."""
-        a = self.index.tables["access"]
-        needle = "".join(self.symbol.split())
-        hit = a.where(F.contains(impact.normalize_index(F.coalesce("access_expression", F.lit(""))), F.lit(needle)))
-        typed = hit.where("variable_name LIKE '%::%'").select(F.col("variable_name").alias("n")).union(hit.where("target_name IS NOT NULL").select("target_name")).distinct()
-        actual = a.join(typed.withColumnRenamed("n", "target_name"), "target_name", "left_semi").select("variable_name")
-        return {r[0] for r in typed.union(actual).distinct().collect()}
+        self.declarations = decl.unionByName(self.members.select(F.lit("member").alias("kind"), "name", "file", "line", "declaration")).unionByName(macro).unionByName(fn)
+
+    def evidence(self, most: int) -> DataFrame:
+        """code, rank, file, line: the first places that speak for each risk, in the order of functions."""
+        mark = F.lit(self.symbol).alias("symbol")
+        cited = impact.risk_evidence(self.accesses.select(mark, "function_name", "seq", "kind", "file", "line"), self.unresolved.select(mark, "kind", "function_name", "file", "line"), most)
+        return cited.join(self.risks.select("code"), "code", "left_semi").drop("symbol")
 
     def _expansions(self) -> DataFrame:
         """What a macro stands for: name and kind."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html
+from .impact import by_name
 from .index import Impact
 
 #: Places that a report names for a risk, and that a page does.
@@ -19,18 +20,23 @@ def file_name(symbol: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", symbol).strip("_") or "symbol"
 
 
+def cited(i: Impact, most: int) -> DataFrame:
+    """code, places: the first places that speak for each risk, at most `most`."""
+    spots = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "file", "line").alias("spot"))))
+    return i.evidence(most).groupBy("code").agg(F.array_join(F.transform(spots, lambda x: x["spot"]), ", ").alias("places"))
+
+
 def lines(i: Impact) -> DataFrame:
     """section, position, text: the report as rows; sections are numbered in reading order."""
     spot = F.concat_ws(":", "file", "line")
     made = lambda df, n, title, text, order: df.select(F.lit(n).alias("section"), F.lit(title).alias("title"), text.alias("text"), F.concat_ws("\u0001", *order).alias("place"))
     threads = i.threads.groupBy("function_name").agg(F.array_join(F.sort_array(F.collect_set("thread_id")), ", ").alias("all"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_interrupt_like"), F.col("thread_id")))), ", ").alias("irq"))
-    places = F.array_join(F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "file", "line"))), 1, EVIDENCE), ", ")
-    evidence = i.accesses.agg(places.alias("places"))
+    risks = i.risks.join(cited(i, EVIDENCE), "code", "left")
     parts = [
         made(i.declarations, 1, "Declarations", F.concat(F.col("kind"), F.lit(" `"), F.col("name"), F.lit("`: "), spot, F.lit(" `"), F.col("declaration"), F.lit("`")), ["file", F.lpad(F.col("line").cast("string"), 9, "0")]),
         made(threads, 2, "Threads", F.concat(F.lit("`"), F.col("function_name"), F.lit("`: "), F.col("all"), F.when(F.col("irq") != "", F.concat(F.lit(" (interrupt-like: "), F.col("irq"), F.lit(")"))).otherwise(F.lit(""))), ["function_name"]),
         made(i.accesses, 3, "Accesses", F.concat(F.upper("kind"), F.lit(" `"), F.col("variable_name"), F.lit("` in `"), F.col("function_name"), F.lit("` at "), spot, F.lit(": `"), F.col("evidence"), F.lit("`")), ["file", F.lpad(F.col("line").cast("string"), 9, "0"), F.lpad(F.col("seq").cast("string"), 9, "0")]),
-        made(i.risks.crossJoin(evidence), 4, "Risks", F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("code"), F.lit(": "), F.col("places")), [F.col("rank").cast("string")]),
+        made(risks, 4, "Risks", F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("code"), F.lit(": "), F.coalesce("places", F.lit(""))), [F.col("rank").cast("string")]),
         made(i.unresolved, 5, "Unresolved evidence", F.concat(F.col("kind"), F.lit(": "), spot, F.lit(" `"), F.coalesce("evidence", F.lit("")), F.lit("`")), ["file", F.lpad(F.col("line").cast("string"), 9, "0"), "kind"]),
     ]
     out = parts[0]
@@ -57,7 +63,8 @@ def html(i: Impact) -> str:
     title = i.symbol.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     cards = "".join(f'<div class="metric"><b>{v}</b> {k}</div>' for k, v in counts.items())
     table = lambda head, rows: f"<table><tr>{''.join(f'<th>{h}</th>' for h in head)}</tr>{''.join('<tr>' + ''.join(f'<td>{c}</td>' for c in r) + '</tr>' for r in rows)}</table>"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>{cards}{table(("id", "label", "kind"), safe(nodes))}{table(("from", "to", "label"), safe(edges))}</body></html>'
+    risks = safe(i.risks.join(cited(i, EVIDENCE_HTML), "code", "left").orderBy("rank").select("severity", "code", F.coalesce("places", F.lit("")).alias("places")))
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1>{cards}{table(("severity", "code", "places"), risks)}{table(("id", "label", "kind"), safe(nodes))}{table(("from", "to", "label"), safe(edges))}</body></html>'
 
 
 def tree(i: Impact) -> DataFrame:
@@ -69,7 +76,7 @@ def tree(i: Impact) -> DataFrame:
         row(i.risks, F.col("code"), F.col("severity")),
         row(i.threads, F.col("thread_id"), F.col("function_name")),
         row(i.accesses, F.col("variable_name"), F.concat_ws(" ", "kind", "function_name", "line")),
-        row(i.functions, F.col("name"), F.concat_ws(":", "file", "start_line")),
+        row(i.functions.orderBy(by_name("name"), "name"), F.col("name"), F.concat_ws(":", "file", "start_line")),
         row(i.unresolved, F.col("kind"), F.concat_ws(":", "file", "line")),
     ]
     for p in parts:

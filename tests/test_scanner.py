@@ -148,7 +148,7 @@ def test_conditions(text, holds):
 def test_conditional_stack_and_headers():
     raw = ["#include <h.h>", "#ifdef FROM_H", "one", "#elif 1", "two", "#else", "three", "#endif", "#undef FROM_H", "#ifdef FROM_H", "four", "#endif"]
     header = ["#define FROM_H 1", '#include "h.h"']
-    out = preprocess.active_lines(raw, raw, {}, lambda name, quoted: (name, header, header))
+    out = preprocess.active_lines(raw, raw, {}, lambda name, quoted, where: (name, header, header))
     assert [x.strip() for x in out if x.strip() and not x.startswith("#")] == ["one"]
 
 
@@ -203,3 +203,102 @@ def test_ambiguous_pointer():
     w = accesses.Walk(declarations.functions(text, lexer.mask(text))[0], ctx).run()
     assert [r["variable_name"] for r in w.rows if r["target_kind"] == "member"] == ["a.x"]
     assert [n["kind"] for n in w.notes] == ["pointer-write", "address-taken", "address-taken", "ambiguous-member-alias"]
+
+
+SELECTED = """typedef struct tagS {
+    int x;
+    int xy;
+} S;
+S g;
+S *known;
+void W1(S *p)
+{
+    p->x = 1;
+}
+void W2(S *p)
+{
+    p->xy = 2;
+}
+void T1(void)
+{
+    g.x = 3;
+    W1(&g);
+}
+void T2(void)
+{
+    g.xy = 4;
+    W1(&g);
+    W2(&g);
+}
+"""
+
+
+def test_typed_member_selection(spark):
+    files = spark.createDataFrame([("s.c", SELECTED)], "path string, text string")
+    threads = spark.createDataFrame([("a", "T1", False), ("b", "T2", False)], "thread_id string, entry_function string, is_interrupt_like boolean")
+    index = CodeIndex.build(files, threads)
+    i = index.impact("p->x")
+    assert {r[0] for r in i.lookup.collect()} == {"p->x", "S::x", "g.x"}
+    assert i.kind == "member" and ("MULTI_THREAD_WRITE",) in rows(i.risks, "code")
+    assert {r["variable_name"] for r in i.accesses.collect()} == {"S::x", "g.x"}
+    assert {r[0] for r in index.impact("g.x").lookup.collect()} == {"g.x"}
+    assert {r[0] for r in index.impact("S::xy").lookup.collect()} == {"S::xy", "g.xy"}
+    assert index.impact("q.unheard").kind == "unknown"
+
+
+def test_evidence_of_each_risk(spark):
+    text = "int g;\nvoid B(void)\n{\n g = 1;\n}\nvoid a(void)\n{\n use(g);\n}\nvoid C(void)\n{\n keep(&g);\n}\n"
+    files = spark.createDataFrame([("e.c", text)], "path string, text string")
+    threads = spark.createDataFrame([("t", "B", False), ("u", "a", True)], "thread_id string, entry_function string, is_interrupt_like boolean")
+    i = CodeIndex.build(files, threads).impact("g")
+    places = {}
+    for r in i.evidence(12).orderBy("code", "rank").collect():
+        places.setdefault(r["code"], []).append(r["line"])
+    assert places == {"CROSS_THREAD_READ_WRITE": [4, 8], "INTERRUPT_CONTEXT": [8, 4, 12], "POINTER_ALIAS": [12], "UNRESOLVED_ACCESS": [12]}
+    assert [r["line"] for r in i.evidence(1).where("code = 'INTERRUPT_CONTEXT'").collect()] == [8]
+
+
+@pytest.mark.parametrize(("text", "names"), [("union U u;", ["u"]), ("structure_t s;", []), ("int a, b[2];", ["b"]), ("int c; ; int d;", ["c", "d"]), ("int x = f(1);", []), ("enum E e; returned r;", []), ("static char *p = 0;", ["p"])])
+def test_globals_passed_over(text, names):
+    assert [g["name"] for g in declarations.globals_([text], [])] == names
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_includes_go_by_folder_and_path(spark, broadcast_bytes):
+    body = '#include "config.h"\n#if MODE == {0}\nint in_{1};\n#endif\n'
+    files = [("a/config.h", "#define MODE 1\n"), ("b/config.h", "#define MODE 2\n"), ("inc/config.h", '#include "deep/more.h"\n'), ("inc/deep/more.h", "#define MODE 3\n")]
+    files += [("a/x.c", body.format(1, "a")), ("b/x.c", body.format(2, "b")), ("c/x.c", body.format(3, "c")), ("d/x.c", "#include <config.h>\n#ifdef MODE\nint in_d;\n#endif\n"), ("e/x.c", '#include "nowhere.h"\n#ifndef MODE\nint in_e;\n#endif\n')]
+    df = spark.createDataFrame(files, "path string, text string")
+    threads = spark.createDataFrame([], "thread_id string, entry_function string, is_interrupt_like boolean")
+    index = CodeIndex.build(df, threads, broadcast_bytes=broadcast_bytes, include_paths=("inc",))
+    assert rows(index.global_var, "name") == [("in_a",), ("in_b",), ("in_c",), ("in_d",), ("in_e",)]
+    assert rows(CodeIndex.build(df, threads, broadcast_bytes=broadcast_bytes).global_var, "name") == [("in_a",), ("in_b",), ("in_e",)]
+
+
+def reach(edges, starts):
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+    out = set()
+    for thread, entry in starts:
+        todo = [entry]
+        while todo:
+            f = todo.pop()
+            if (f, thread) not in out:
+                out.add((f, thread))
+                todo += ahead.get(f, [])
+    return out
+
+
+def test_reachability_of_long_graphs_equals_brute_force(spark):
+    import random
+
+    from impactlake.plans.graph import reachability
+
+    rng = random.Random(2)
+    ring = [(f"r{i}", f"r{(i + 1) % 2000}") for i in range(2000)] + [("r1999", "tail0"), ("lost0", "lost1"), ("lost1", "lost0"), ("lost1", "r7"), ("self", "self")]
+    ring += [(f"tail{i}", f"tail{i + 1}") for i in range(60)] + [(f"x{rng.randrange(80)}", f"x{rng.randrange(80)}") for _ in range(110)] + [("tail60", "x1"), ("tail30", "x40")]
+    starts = [("t", "r5"), ("u", "tail3"), ("v", "nowhere"), ("t", "self")]
+    threads = spark.createDataFrame([(t, e, False) for t, e in starts], "thread_id string, entry_function string, is_interrupt_like boolean")
+    got = {(r["function_name"], r["thread_id"]) for r in reachability(threads, spark.createDataFrame(ring, "caller string, callee string")).collect()}
+    assert got == reach(ring, starts)
