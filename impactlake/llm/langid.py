@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, held_out, mix64, table
+from .common import cut, fresh, give_back, held_out, mix64, table
 from .textarrays import codes_of, lowered, parts
 
 #: Hash buckets of n-grams.
@@ -118,6 +118,7 @@ def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
                     some += int((n > 0).sum())
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(held[at], some))], names=["at", "n"])
+        give_back()
 
     got = docs.select(text_col).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row a bucket
     out = np.zeros(BUCKETS + 1, np.int64)
@@ -148,6 +149,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
                         if some:
                             at = np.flatnonzero(row)
                             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([row[at].astype(np.int32)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
+        give_back()
 
     got = chosen.mapInArrow(sparse, "lang string, at array<int>, n array<int>").toArrow()
     tf = np.zeros((got.num_rows, BUCKETS), np.float32)
@@ -182,6 +184,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 best, score = np.concatenate(best), np.concatenate(score)
                 radius = np.append(m.radius, -1.0)[best]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(score), pa.array((1 - score) > radius)], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix64, table
+from .common import cut, fresh, give_back, mix64, table
 from .components import components
-from .textarrays import Words, codes_of, parts
+from .textarrays import Words, codes_of, forget_powers, parts
 
 WORDS, THRESHOLD = 5, 0.8
 #: 25 bands of 5 slots miss a pair of similarity 0.8 once in 20,000.
@@ -114,6 +114,8 @@ def sketch(docs: DataFrame, key: str, text_col: str) -> DataFrame:
                 bands = pa.array([None if e else k for e, k in zip(empty, keys, strict=True)], pa.list_(pa.int64()))
                 raw = pa.array([None if e else s.tobytes() for e, s in zip(empty, slots, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), part.column(part.schema.get_field_index("doc_id")), bands, raw], names=[key, "doc_id", "bands", "sig"])
+        forget_powers()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(key, "doc_id", text_col).mapInArrow(run, f"{key} binary, doc_id {kind}, bands array<long>, sig binary")
@@ -142,6 +144,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 s = similarity([t for ab in zip(a, b, strict=True) for t in ab])
                 keep = pa.array(s >= threshold - 1e-12)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+        forget_powers()
+        give_back()
 
     with_a = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("th").alias("b"), F.col("text").alias("tb")), "b")

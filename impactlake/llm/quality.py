@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fresh, held_out, mix64, table
+from .common import bounded_sample, fresh, give_back, held_out, mix64, table
 from .textarrays import Words, codes_of, letters, parts
 
 #: Labelled rows that training sees at most (1.25 times as many in the worst case).
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
             for part, texts in parts(batch, "text"):
                 x = statistics(texts).x
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column(1).cast(pa.int32())], names=["x", "y"])
+        give_back()
 
     got = chosen.mapInArrow(run, "x array<double>, y int").toArrow()
     x = np.array(got.column(0).to_pylist(), float).reshape(-1, len(FEATURES))
@@ -222,6 +223,7 @@ def judge(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
                 score = model.score(s.x)
                 arrays = [pa.array(a, pa.int64()) for a in s[:5]] + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= KEEP))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

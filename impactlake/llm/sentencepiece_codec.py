@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, mix64, slices
+from .common import fresh, give_back, mix64, slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,7 +34,7 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Longer words are merged one at a time with a heap, as a matrix round costs their length.
 MATRIX_CHARS = 48
 #: Words kept with their ids between batches; the cache is emptied beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -347,7 +347,7 @@ def codec(path: str, kind: str | None = None) -> Codec:
 
 
 #: Characters that one worker holds at a time; a longer text stands alone.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 700_000
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL, kind: str | None = None, decode_too: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -385,6 +385,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
                     columns.append(pa.array([None if t is None else c.decode(whole[x:y]) for t, x, y in zip(raw, at, at[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         c.forget()
+        give_back()
 
     return base.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from .common import mix64, slices
 _BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of text that a worker handles at a time; a longer text stands alone.
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 500_000
 
 
 def parts(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES):
@@ -41,11 +41,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
+    size = 1 << max(19, int(n).bit_length())
     a, b = _powers(size)
     return a[:n], b[:n]
 
 
+def forget_powers() -> None:
+    """Drops the table of the longest text seen."""
+    _powers.cache_clear()
+
+
 class Words:
     """Words of a batch of texts: start, end (positions in codes), doc (index of the text), hash."""
 

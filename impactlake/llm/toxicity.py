@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, cut, fresh, held_out, mix64, table
+from .common import bounded_sample, cut, fresh, give_back, held_out, mix64, table
 from .textarrays import parts
 
 #: Labelled rows that training sees at most (1.25 times as many in the worst case).
@@ -41,7 +41,7 @@ CHUNK = 128
 BLOCK_CHUNKS = 512
 #: Training windows that a sampled toxic and a sampled clean document give at most, chosen by a hash of their places.
 TOXIC_WINDOWS, CLEAN_WINDOWS = 4, 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _COMMON_EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
@@ -367,6 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 for text, bad in zip(texts, part.column(1).to_pylist(), strict=True):
                     found = sorted(_features_of(text))
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.full(len(found), bad, np.int32))], names=["f", "toxic"])
+        give_back()
 
     counted = chosen.mapInArrow(words, "f string, toxic int").groupBy("f").agg(F.count_if(F.col("toxic") != 0).alias("bad"), F.count_if(F.col("toxic") == 0).alias("fine"))
     likely = counted.where((F.col("bad") >= LEAST_DOCUMENTS) & (F.col("bad") >= F.lit(PURITY) * (F.col("bad") + F.col("fine")))).collect()
@@ -377,6 +378,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             for part, texts in parts(batch, "text"):
                 found = [w for text, bad in zip(texts, part.column(1).to_pylist(), strict=True) for w in windows(text, bad, told)]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.list_(pa.string())), pa.array([m for _, m in found], pa.list_(pa.int32()))], names=["words", "marks"])
+        give_back()
 
     got = chosen.mapInArrow(cutouts, "words array<string>, marks array<int>").toArrow()
     model = _field(list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)))
@@ -389,6 +391,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 x = m.summary(*m.tag(texts))
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2]), part.column(1)], names=["most", "all", "toxic"])
         m.forget()
+        give_back()
 
     x = np.array(sorted(tuple(r) for r in chosen.mapInArrow(numbers, "most double, all double, toxic int").collect()), float).reshape(-1, 3)
     model.curve = _curve(np.column_stack([np.ones(len(x)), x[:, :2]]), (x[:, 2] != 0).astype(float))
@@ -430,6 +433,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = T
                     columns.append(pa.array(rows, kind))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         m.forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
