@@ -113,7 +113,7 @@ def reachability(threads: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         chains, rest = _chains(hops, entries)
         folded.append(chains)
-        small = chains.count() * 8 < hops.count()
+        small = chains.count() * 8 <= hops.count()
         hops = rest
         if small:
             break
