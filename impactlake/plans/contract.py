@@ -51,13 +51,14 @@ def _(t):
 
 @query("callees_normalised", with_ctes("call_edge", rest="SELECT caller, count(DISTINCT callee) AS n, min(callee) AS first_callee, max(callee) AS last_callee FROM call_edge GROUP BY caller"))
 def _(t):
-    g = t.call_edge.groupBy("caller").agg(F.sort_array(F.collect_set("callee")).alias("c"))
-    return g.select("caller", F.size("c").cast("long").alias("n"), F.get("c", F.lit(0)).alias("first_callee"), F.element_at("c", -1).alias("last_callee"))
+    g = impact.calls_of(t.call_edge)
+    return g.select(F.col("function_name").alias("caller"), F.size("callees").cast("long").alias("n"), F.get("callees", F.lit(0)).alias("first_callee"), F.element_at("callees", -1).alias("last_callee"))
 
 
-@query("functions_last_wins", with_ctes("function", rest="SELECT file, start_line, arg_max(name, ordinal) AS name FROM function GROUP BY file, start_line"))
+@query("functions_last_wins", "SELECT 'fn_' || o_custkey AS name, max(o_orderkey) AS ordinal, arg_max('f' || (o_orderkey % 97) || '.c', o_orderkey) AS file FROM orders GROUP BY o_custkey")
 def _(t):
-    return t.function.groupBy("file", "start_line").agg(F.max_by("name", "ordinal").alias("name"))
+    f = t.table("orders").select(F.concat(F.lit("fn_"), "o_custkey").alias("name"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("f"), (F.col("o_orderkey") % 97).cast("string"), F.lit(".c")).alias("file"))
+    return impact.keep_last(f, ["name"], ["ordinal"])
 
 
 @query("types_first_wins", "SELECT p_brand AS alias, arg_min(p_name, p_partkey) AS type_name, min(p_partkey) AS ordinal FROM part GROUP BY p_brand")
@@ -72,19 +73,16 @@ def _(t):
     return impact.keep_first(p, ["name"], ["p_partkey"]).drop("p_partkey")
 
 
-@query("encoding_usage", "SELECT lang AS used_encoding, count(*) AS files, count(*) FILTER (n_chars % 7 = 0) AS lossy, min(doc_id) FILTER (n_chars % 7 = 0) AS first_lossy FROM documents GROUP BY lang")
 def _(t):
     lossy = F.col("n_chars") % 7 == 0
     return t.table("documents").groupBy(F.col("lang").alias("used_encoding")).agg(F.count("*").alias("files"), F.count_if(lossy).alias("lossy"), F.min(F.when(lossy, F.col("doc_id"))).alias("first_lossy"))
 
 
-@query("size_rollup", "SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS bytes, round(sum(n_chars) / 1048576.0, 1)::DOUBLE AS mib, count(*) >= 1024 AND sum(n_chars) <= 134217728 AS in_memory FROM documents GROUP BY source")
 def _(t):
     g = t.table("documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
     return g.select("source", "files", "bytes", fx.mebibytes(F.col("bytes")).alias("mib"), ((F.col("files") >= 1024) & (F.col("bytes") <= 134217728)).alias("in_memory"))
 
 
-@query("report_metrics", with_ctes("access", "function", "unresolved", rest="SELECT (SELECT count(DISTINCT variable_name) FROM access) AS globals, (SELECT count(*) FROM access) AS accesses, (SELECT count(*) FROM function) AS functions, (SELECT count(*) FROM unresolved) AS unresolved"))
 def _(t):
     a = t.access.agg(F.countDistinct("variable_name").alias("globals"), F.count("*").alias("accesses"))
     return a.crossJoin(t.function.agg(F.count("*").alias("functions"))).crossJoin(t.unresolved.agg(F.count("*").alias("unresolved")))
@@ -94,25 +92,23 @@ def _(t):
 @query("functions_touching_symbol", with_ctes("access", "function", rest="SELECT name, file FROM function WHERE EXISTS (SELECT 1 FROM access WHERE function_name = name AND (variable_name IN ('g_1', 'g_2', 'g_3') OR target_name IN ('g_1', 'g_2', 'g_3')))"))
 def _(t):
     symbols = t.spark.createDataFrame([("g_1",), ("g_2",), ("g_3",)], "symbol string")
-    hits = impact.matching(t.access, symbols).select(F.col("function_name").alias("name")).distinct()
+    hits = impact.touching(t.access, symbols).select(F.col("function_name").alias("name")).distinct()
     return t.function.select("name", "file").join(hits, "name", "left_semi")
 
 
 @query("functions_touching_macro", with_ctes("access", "function", rest="SELECT name FROM function WHERE EXISTS (SELECT 1 FROM access WHERE function_name = name AND (macro_name = 'M_1' OR variable_name = 'g_1' OR target_name = 's_1'))"))
 def _(t):
     wanted = t.spark.createDataFrame([("macro", "M_1"), ("variable", "g_1"), ("target", "s_1")], "key_kind string, symbol string")
-    hits = impact.access_keys(t.access).join(F.broadcast(wanted), ["key_kind", "symbol"]).select(F.col("function_name").alias("name")).distinct()
+    hits = impact.access_keys(t.access).join(wanted, ["key_kind", "symbol"]).select(F.col("function_name").alias("name")).distinct()
     return t.function.select("name").join(hits, "name", "left_semi")
 
 
-@query("call_resolution", with_ctes("function", "call_edge", rest="SELECT caller, name AS callee, file FROM call_edge JOIN function ON name = callee WHERE caller <> name"))
 def _(t):
     f = t.function.select(F.col("name").alias("callee"), fx.simple_name(F.col("name")).alias("simple"), "file")
     e = t.call_edge.select("caller", fx.simple_name(F.col("callee")).alias("simple"))
     return e.join(f, "simple").where("caller <> callee").select("caller", "callee", "file")
 
 
-@query("parameter_templates", "SELECT 'fn_' || o_orderkey AS caller, l_linenumber AS parameter, 'g_' || l_partkey || '.' || p_brand AS target, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")
 def _(t):
     calls = t.table("orders").select("o_orderkey", F.concat(F.lit("fn_"), "o_orderkey").alias("caller"))
     args = t.table("lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("parameter"))
@@ -142,7 +138,6 @@ def _(t):
     return impact.changed(now, old)
 
 
-@query("source_set_equal", "SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS missing, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS unused")
 def _(t):
     a, b = t.table("orders").select(F.col("o_custkey").alias("k")), t.table("customer").select(F.col("c_custkey").alias("k"))
     return a.subtract(b).agg(F.count("*").alias("missing")).crossJoin(b.subtract(a).agg(F.count("*").alias("unused")))
@@ -181,7 +176,7 @@ def _risks(t):
     named = t.unresolved.where("variable_name IS NOT NULL").select(F.col("variable_name").alias("symbol"), "kind")
     # Rows that name nothing bear on every symbol: their few kinds are joined, not the rows.
     nameless = t.unresolved.where("variable_name IS NULL").select("kind").groupBy("kind").count()
-    notes = named.join(symbols.select("symbol"), "symbol", "left_semi").unionByName(symbols.select("symbol").join(F.broadcast(nameless.select("kind")), F.lit(True)))
+    notes = named.join(symbols.select("symbol"), "symbol", "left_semi").unionByName(symbols.select("symbol").crossJoin(nameless.select("kind")))
     return impact.risks(symbols, hits, t.thread_reach, notes)
 
 
@@ -209,7 +204,7 @@ def _(t):
 
 @query("topology_filter", with_ctes("unresolved", rest="SELECT function_name, kind, count(*) AS n FROM unresolved WHERE kind IN ('function-pointer', 'unknown-call') GROUP BY ALL"))
 def _(t):
-    return t.unresolved.where(F.col("kind").isin(*impact.TOPOLOGY)).groupBy("function_name", "kind").agg(F.count("*").alias("n"))
+    return impact.topology(t.unresolved).groupBy("function_name", "kind").agg(F.count("*").alias("n"))
 
 
 # Ordered operators --------------------------------------------------------------------------------------
@@ -229,20 +224,17 @@ def _(t):
     return impact.top_evidence(t.access.select("variable_name", "function_name", "line"), ["variable_name"], ["function_name", "line"], ["function_name", "line"], 12).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS current_source FROM events")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return t.table("events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w).alias("current_source"))
 
 
-@query("running_depth", "SELECT event_id, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS depth FROM events")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     return t.table("events").select("event_id", F.sum(delta).over(w).alias("depth"))
 
 
-@query("declaration_groups", "SELECT user_id, g, string_agg(event_type, '|' ORDER BY ts, event_id) AS text FROM (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM events) GROUP BY user_id, g")
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     g = F.coalesce(F.sum((F.col("event_type") == "error").cast("int")).over(w), F.lit(0)).cast("long")
@@ -250,16 +242,12 @@ def _(t):
     return rows.select("user_id", "g", F.array_join(F.transform("x", lambda x: x["event_type"]), "|").alias("text"))
 
 
-@query("configuration_pick", """SELECT p_brand, arg_min(p_type, (CASE WHEN lower(p_type) = 'promo' THEN 0 WHEN contains(lower(p_type), 'promo') THEN 1 WHEN regexp_matches(p_type, '\\bRelease\\b') THEN 2 ELSE 3 END)::BIGINT * 1000000000 + p_partkey) AS picked FROM part GROUP BY p_brand""")
 def _(t):
     low = F.lower("p_type")
     rank = F.when(low == "promo", 0).when(F.contains(low, F.lit("promo")), 1).when(F.col("p_type").rlike(r"\bRelease\b"), 2).otherwise(3)
     return t.table("part").groupBy("p_brand").agg(F.min_by("p_type", F.struct(rank.alias("r"), "p_partkey")).alias("picked"))
 
 
-@query("progress_culprit", """WITH s AS (SELECT user_id, event_type, max(event_id) AS seen FROM events WHERE event_type <> 'error' GROUP BY ALL),
-f AS (SELECT user_id, max(event_id) AS done FROM events WHERE event_type = 'error' GROUP BY user_id)
-SELECT user_id, max(seen) AS culprit FROM s LEFT JOIN f USING (user_id) WHERE done IS NULL OR seen > done GROUP BY user_id""")
 def _(t):
     e = t.table("events")
     starts = e.where("event_type <> 'error'").groupBy("user_id", "event_type").agg(F.max("event_id").alias("at"))
@@ -316,37 +304,11 @@ def _(t):
     return graph.reachability(starts, t.event_edge).drop("is_interrupt_like")
 
 
-@query("impact_nodes", with_ctes("access", "thread", "call_edge", "thread_reach", "a AS (SELECT * FROM access WHERE variable_name = 'g_1')", rest="""SELECT 'target' AS id, 'g_1' AS label, 'target' AS kind UNION SELECT 'function:' || function_name, function_name, 'function' FROM a
-UNION SELECT 'thread:' || thread_id, thread_id, 'thread' FROM a JOIN thread_reach USING (function_name)"""))
 def _(t):
     a = t.access.where("variable_name = 'g_1'")
     return _nodes(t, a)
 
 
-def _nodes(t, a):
-    target = t.spark.createDataFrame([("target", "g_1", "target")], "id string, label string, kind string")
-    named = lambda df, c, kind: df.select(F.concat(F.lit(f"{kind}:"), c).alias("id"), F.col(c).alias("label"), F.lit(kind).alias("kind"))
-    threads = t.thread_reach.join(a.select("function_name").distinct(), "function_name", "left_semi")
-    return target.unionByName(named(a, "function_name", "function")).unionByName(named(threads, "thread_id", "thread")).distinct()
-
-
-@query("impact_edges", with_ctes("access", "thread", "call_edge", "thread_reach", "a AS (SELECT * FROM access WHERE variable_name = 'g_1')", rest="""SELECT 'target' AS src, 'function:' || function_name AS dst, kind AS label, count(*) AS n FROM a GROUP BY ALL
-UNION ALL SELECT 'thread:' || thread_id, 'function:' || function_name, 'reaches', count(*) FROM (SELECT DISTINCT function_name, thread_id FROM a JOIN thread_reach USING (function_name)) GROUP BY ALL"""))
-def _(t):
-    a = t.access.where("variable_name = 'g_1'")
-    fn = F.concat(F.lit("function:"), "function_name")
-    kinds = a.groupBy(F.lit("target").alias("src"), fn.alias("dst"), F.col("kind").alias("label")).agg(F.count("*").alias("n"))
-    threads = t.thread_reach.select("function_name", "thread_id").distinct().join(a.select("function_name").distinct(), "function_name", "left_semi")
-    reaches = threads.groupBy(F.concat(F.lit("thread:"), "thread_id").alias("src"), fn.alias("dst"), F.lit("reaches").alias("label")).agg(F.count("*").alias("n"))
-    return kinds.unionByName(reaches)
-
-
-@query("selective_hydration", with_ctes("access", "function", rest="SELECT name, file, start_line, end_line FROM function WHERE name IN (SELECT function_name FROM access WHERE variable_name = 'g_5' OR target_name = 'g_5' OR macro_name = 'g_5')"))
-def _(t):
-    wanted = impact.inverted_index(t.access).where("symbol = 'g_5'").select(F.col("function_name").alias("name"))
-    return t.function.select("name", "file", "start_line", "end_line").join(wanted, "name", "left_semi")
-
-
 @query("symbol_kinds", with_ctes("access", "function", "s AS (SELECT DISTINCT variable_name AS symbol FROM access UNION SELECT DISTINCT target_name FROM access WHERE target_name IS NOT NULL UNION SELECT 'M_' || s_suppkey FROM supplier UNION SELECT name FROM function UNION SELECT 'nothing')", rest="SELECT symbol, CASE WHEN symbol LIKE 'g\\_%' ESCAPE '\\' THEN 'global' WHEN symbol LIKE 's\\_%' ESCAPE '\\' THEN 'member' WHEN symbol LIKE 'M\\_%' ESCAPE '\\' THEN 'macro' WHEN symbol LIKE 'fn\\_%' ESCAPE '\\' THEN 'function' ELSE 'unknown' END AS symbol_kind FROM s"))
 def _(t):
     a = t.access
@@ -371,21 +333,24 @@ def _(t):
     return impact.member_expansion(g, n.unionByName(c))
 
 
-@query("typed_member_inference", with_ctes("access", rest="SELECT DISTINCT b.variable_name, a.target_name FROM access a JOIN access b ON a.target_name = b.target_name WHERE contains(regexp_replace(regexp_replace(a.access_expression, '\\s+', '', 'g'), '\\[[^\\]]+\\]', '[]', 'g'), 'g_12[].v')"))
-def _(t):
-    a = t.access
-    hits = a.where(F.contains(fx.normalize_index(F.col("access_expression")), F.lit("g_12[].v")) & F.col("target_name").isNotNull()).select("target_name").distinct()
-    return a.join(hits, "target_name", "left_semi").select("variable_name", "target_name").distinct()
+_TYPED = """t AS (SELECT 'T_' || (l_suppkey % 20) || '::a.v' || l_linenumber AS typed, 'p' || l_partkey || ' [ ' || l_linenumber || ' ]->a . v' || l_linenumber AS said, 'g_' || l_suppkey || '.a.v' || l_linenumber AS actual, l_suppkey, l_linestatus FROM lineitem),
+s AS (SELECT DISTINCT 'p' || p_partkey || '[]->a.v' || i AS symbol, 'a.v' || i AS path FROM part, range(1, 4) r(i) WHERE p_partkey < 60)"""
 
 
-@query("macro_alias_targets", """WITH m AS (SELECT p_partkey, 'g_' || p_size || '.' || regexp_extract(p_type, '([A-Za-z]+)', 1) AS replacement FROM part), s AS (SELECT DISTINCT 'g_' || l_linenumber AS name FROM lineitem)
-SELECT 'M_' || p_partkey AS name, replacement AS target_name, CASE WHEN name IS NOT NULL THEN 'member' ELSE 'unknown' END AS target_kind FROM m LEFT JOIN s ON s.name = regexp_extract(replacement, '^([A-Za-z_][A-Za-z0-9_]*)', 1)""")
+@query("typed_member_inference", f"""WITH {_TYPED}, f AS (SELECT DISTINCT symbol, typed AS name FROM s JOIN t ON split_part(typed, '::', 2) = path AND contains(regexp_replace(regexp_replace(said, '\\s+', '', 'g'), '\\[[^\\]]+\\]', '[]', 'g'), symbol) WHERE l_linestatus = 'O')
+SELECT symbol, name, 'typed' AS part FROM f UNION ALL SELECT DISTINCT symbol, actual, 'actual' FROM f JOIN t ON typed = name WHERE l_linestatus <> 'O' AND l_suppkey % 2 = 0""")
 def _(t):
-    m = t.table("part").select(F.concat(F.lit("M_"), "p_partkey").alias("name"), F.concat(F.lit("g_"), F.col("p_size").cast("string"), F.lit("."), F.regexp_extract("p_type", "([A-Za-z]+)", 1)).alias("target_name"))
-    known = t.table("lineitem").select(F.concat(F.lit("g_"), F.col("l_linenumber").cast("string")).alias("owner")).distinct()
-    owner = F.regexp_extract("target_name", "^([A-Za-z_][A-Za-z0-9_]*)", 1)
-    j = m.join(known, owner == known["owner"], "left")
-    return j.select("name", "target_name", F.when(F.col("owner").isNotNull(), "member").otherwise("unknown").alias("target_kind"))
+    li, s = t.table("lineitem"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    n, own = F.col("l_linenumber"), F.col("l_suppkey")
+    typed, actual = s("T_", own % 20, "::a.v", n), s("g_", own, ".a.v", n)
+    open_ = F.col("l_linestatus") == "O"
+    access = li.select(F.when(open_, typed).otherwise(actual).alias("variable_name"), F.when(~open_, typed).alias("target_name"), s("p", F.col("l_partkey"), " [ ", n, " ]->a . v", n).alias("access_expression"), F.lit("").alias("evidence"))
+    members = li.where(own % 2 == 0).select(actual.alias("name")).distinct()
+    symbols = t.table("part").where("p_partkey < 60").select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"), "p_partkey").select(s("p", F.col("p_partkey"), "[]->a.v", F.col("i")).alias("symbol"))
+    none = t.spark.createDataFrame([], "name string")
+    notes = t.spark.createDataFrame([], "kind string, variable_name string, evidence string")
+    of_type, found = impact.inferred_members(symbols, access, notes, none, members, none)
+    return of_type.withColumn("part", F.lit("typed")).unionByName(found.withColumn("part", F.lit("actual")))
 
 
 # Text -----------------------------------------------------------------------------------------------------
@@ -401,7 +366,6 @@ def _(t):
     return _doc_lines(t).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("text_identifiers", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*'))) AS n, list_extract(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*'), 1) AS first_identifier FROM (SELECT page_id, regexp_replace(html, '[0-9][A-Za-z0-9_]*', '0', 'g') AS html FROM (SELECT page_id, regexp_replace(html, '([^A-Za-z0-9_])', ' ', 'g') AS html FROM pages))")
 def _(t):
     plain = F.regexp_replace(F.regexp_replace("html", "([^A-Za-z0-9_])", " "), "[0-9][A-Za-z0-9_]*", "0")
     ids = F.array_distinct(F.regexp_extract_all(plain, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
@@ -464,4 +428,4 @@ def _(t):
     return t.table("orders").select("o_orderkey", fx.grouped_digits(F.col("o_orderkey")).alias("grouped"), fx.duration((F.col("o_orderkey") % 200) * 100 + 13).alias("duration"))
 
 
-from . import roundtrip  # noqa: E402, F401  registers its queries
+from . import rig, roundtrip  # noqa: E402, F401  register their queries

@@ -44,6 +44,18 @@ def called_by(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("callee").alias("function_name")).agg(F.sort_array(F.collect_set("caller")).alias("callers"))
 
 
+def calls_of(edges: DataFrame) -> DataFrame:
+    """function_name, callees: each function's distinct callees in order."""
+    return edges.groupBy(F.col("caller").alias("function_name")).agg(F.sort_array(F.collect_set("callee")).alias("callees"))
+
+
+def by_name_of(df: DataFrame, order: list[str]) -> DataFrame:
+    """name, rows: all rows of a name in one array, in order; for reading a few, as a much-declared name makes a long array."""
+    rest = [c for c in df.columns if c != "name"]
+    keyed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
+    return df.groupBy("name").agg(F.sort_array(F.collect_list(keyed)).alias("rows"))
+
+
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key (null keys are equal), in the given order."""
     return _ranked(df, keys, order)

@@ -8,11 +8,13 @@ walks every function with it. All that follows is DataFrame work on tables in Pa
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import accesses, declarations, lexer, preprocess
 from ..scratch import cut
@@ -120,32 +122,52 @@ def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str], i
     return _carried(files, "path", "ordinal", "text").mapInPandas(run, DECLARED)
 
 
-def aliases_of(macros: list[dict], globals_: set[str], types: dict[str, dict]) -> dict[str, dict]:
-    """Macro aliases by name: what a macro stands for and whether that is a global, a member or unknown."""
-    out = {}
+_PART = r"[A-Za-z_]\w*(?:\s*\[[^\]]+\])?"
+_DOTTED = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)*")
+_MEMBER = re.compile(rf"\b{_PART}(?:\s*(?:\.|->|::)\s*{_PART})+")
+
+
+def alias_target(replacement: str | None, parameters: list[str], is_function_like: bool) -> str | None:
+    """What a macro stands for: a dotted name that is all of an object-like one, or a function-like one's first member expression, white space and
+    indexes aside, or else its first name that is no parameter."""
+    text = (replacement or "").strip()
+    if not is_function_like:
+        return text if _DOTTED.fullmatch(text) else None
+    if m := _MEMBER.search(text):
+        return re.sub(r"\[[^\]]+\]", "[]", "".join(m.group().split()))
+    return next((n for n in re.findall(r"\b[A-Za-z_]\w*\b", text) if n not in parameters), None)
+
+
+def aliases_of(macros: list[dict], globals_: set[str]) -> dict[str, dict]:
+    """The macros that lines are expanded with, in name order, the first definition of each: function-like ones must stand for a global or a member."""
+    out: dict[str, dict] = {}
     for m in sorted(macros, key=lambda m: m["name"]):
-        text = m["replacement"]
-        if not text or m["name"] in out:
-            continue
-        found = lexer.members(text)
-        if not m["is_function_like"]:
-            whole = found and found[0].text == text
-            if not whole and not (text.isidentifier() and text not in lexer.KEYWORDS):
-                continue
-            target, owner = text, found[0].owner if whole else text
-        else:
-            names = [t.text for t in lexer.tokens(text) if t.is_name and t.text not in m["parameters"] and t.text not in lexer.KEYWORDS]
-            target = found[0].text if found else next(iter(names), None)
-            owner = found[0].owner if found else target
-            if target is None:
-                continue
-        kind = "unknown" if owner not in globals_ else "member" if found else "global"
-        if m["is_function_like"] and kind == "unknown":
-            continue
-        out[m["name"]] = m | {"target_name": "".join(target.split()), "target_kind": kind}
+        target = alias_target(m["replacement"], m["parameters"], m["is_function_like"])
+        if target and m["name"] not in out and (not m["is_function_like"] or target in globals_ or any(c in target for c in (".", "->", "::"))):
+            out[m["name"]] = m
     return out
 
 
+def macro_aliases(macro_def: DataFrame, global_var: DataFrame, member_symbol: DataFrame) -> DataFrame:
+    """Every definition of a macro that stands for something, with target_name and target_kind: a global before a member before unknown.
+
+    Function-like macros of unknown targets are left out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            batch["target_name"] = [alias_target(r, list(p if p is not None else []), f) for r, p, f in zip(batch["replacement"], batch["parameters"], batch["is_function_like"])]
+            yield batch[batch["target_name"].notna()]
+
+    kept = macro_def.select("name", "replacement", "parameters", "is_function_like", "file", "line", "declaration")
+    schema = T.StructType([*kept.schema.fields, T.StructField("target_name", T.StringType())])
+    found = kept.mapInPandas(run, schema)
+    data = global_var.select("name", F.lit(0).alias("r")).union(member_symbol.select("name", F.lit(1).alias("r"))).groupBy(F.col("name").alias("target_name")).agg(F.min("r").alias("r"))
+    kind = F.when(F.col("r") == 0, "global").when(F.col("r") == 1, "member").otherwise("unknown")
+    told = found.join(data, "target_name", "left").withColumn("target_kind", kind).drop("r")
+    return told.where(~(F.col("is_function_like") & (F.col("target_kind") == "unknown")))
+
+
 def context_from(rows, dialect: str = "primary") -> accesses.Context:
     """A context from declarations (kind, ordinal, path, line, body); the first of a name wins, in file order and then by line."""
     by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": [], "template": []}
@@ -162,7 +184,7 @@ def context_from(rows, dialect: str = "primary") -> accesses.Context:
     for f in by["function"]:
         full = simple.setdefault(f["name"].split("::")[-1], [])
         full += [f["name"]] if f["name"] not in full else []
-    ctx = accesses.Context(set(first), first, types, simple, {}, aliases_of(by["macro"], set(first), types), dialect)
+    ctx = accesses.Context(set(first), first, types, simple, {}, aliases_of(by["macro"], set(first)), dialect)
     for t in by["template"]:
         known = next((n for n in ctx.type_names if n in t["words"]), None)
         row = (t["parameter"], tuple(t["path"]), t["access"], f"{known}::{'.'.join(t['path'])}" if known else None)
@@ -192,7 +214,7 @@ def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary", include_paths: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of FACT: accesses, calls and unresolved evidence of every function, and a file's macro aliases. Without ctx the files carry their context."""
+    """Rows of FACT: accesses, calls and unresolved evidence of every function. Without ctx the files carry their context."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers, ctx))
     columns = [c.split()[0] for c in FACT.split(", ")]
 
@@ -205,8 +227,6 @@ def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str],
                 try:
                     context = whole or context_from([(e["kind"], e["ordinal"], e["path"], e["line"], e["body"]) for e in (entries if entries is not None else [])], dialect)
                     raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
-                    for m in {d["name"] for d in declarations.macros(raw, active)} & context.aliases.keys():
-                        rows.append({"kind": "alias", "variable_name": m, "target_name": context.aliases[m]["target_name"], "target_kind": context.aliases[m]["target_kind"], "file": path, "evidence": json.dumps(context.aliases[m])})
                     for f in declarations.functions(raw, active):
                         w = accesses.Walk(f, context).run()
                         rows += [{**r, "access": r["kind"], "kind": "access", "file": path} for r in w.rows]
@@ -272,13 +292,12 @@ class CodeIndex:
         inside = facts.where("kind = 'unresolved'").select(F.col("access").alias("kind"), "function_name", "variable_name", "file", "line", "evidence", F.lit("function").alias("scope"))
         macro_notes = t["macro_def"].where("is_function_like").select(F.lit("macro").alias("kind"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("string").alias("variable_name"), "file", "line", F.col("declaration").alias("evidence"), F.lit("file").alias("scope"))
         t["unresolved"] = inside.unionByName(macro_notes) if dialect == "primary" else inside
-        alias = "name string, replacement string, parameters array<string>, is_function_like boolean, target_name string, target_kind string, line int, declaration string"
-        t["macro_alias"] = facts.where("kind = 'alias'").select(F.from_json("evidence", alias).alias("a")).select("a.*").distinct()
         typed = types.select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name"), "file", "ordinal", "line", "members")
         typed = impact.keep_first(typed, ["type_name"], ["ordinal", "file", "line"])
         named = typed.select("type_name", "file", F.explode("members").alias("m")).select("type_name", "file", "m.name", "m.member_type", "m.is_array", "m.pointer_level", "m.line", "m.declaration")
         owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "file", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
         t["member_symbol"] = impact.member_expansion(owners.select("name", "type_name", "is_array", "pointer_level"), named)
+        t["macro_alias"] = macro_aliases(t["macro_def"], t["global_var"], t["member_symbol"])
         t["thread_reach"] = reachability(threads, t["call_edge"])
         t["access_index"] = impact.inverted_index(t["access"])
         index = cls(spark, t)
@@ -296,6 +315,32 @@ class CodeIndex:
         names = ["global_var", "struct_type", "struct_member", "macro_def", "function", "include", "skipped_file", "call_edge", "thread", "access", "unresolved", "macro_alias", "member_symbol", "thread_reach", "access_index"]
         return cls(spark, {n: spark.read.parquet(f"{path}/{n}") for n in names})
 
+    def hydrated(self, symbols: DataFrame) -> CodeIndex:
+        """The index with the function-level tables of those functions only that the access index finds under a symbol (symbol).
+
+        The symbols are a filter that the sorted index sees, as long as they are few; the facts are semi-joined.
+        """
+        few = [r["symbol"] for r in symbols.select("symbol").distinct().limit(impact.MOST_PUSHED + 1).collect()]
+        found = self.access_index.where(F.col("symbol").isin(few)) if len(few) <= impact.MOST_PUSHED else self.access_index.join(symbols.select("symbol"), "symbol", "left_semi")
+        names = cut(found.select("function_name").distinct())
+        t = dict(self.tables)
+        t["access"] = t["access"].join(names, "function_name", "left_semi").select(*t["access"].columns)
+        t["function"] = t["function"].join(names.withColumnRenamed("function_name", "name"), "name", "left_semi").select(*t["function"].columns)
+        own = t["unresolved"].where("scope = 'function'").join(names, "function_name", "left_semi").select(*t["unresolved"].columns)
+        t["unresolved"] = own.unionByName(t["unresolved"].where("scope = 'file'"))
+        return CodeIndex(self.spark, t)
+
+    def sizes(self) -> DataFrame:
+        """label, n: how many globals, functions, types, typed globals and aliases the declarations of the code base hold."""
+        t = self.tables
+        typed = t["global_var"].join(t["struct_type"].select(F.explode(F.array_distinct(F.concat(F.array("name"), F.col("aliases")))).alias("type_name")).distinct(), "type_name", "left_semi")
+        parts = {"globals": (t["global_var"], "name"), "functions": (t["function"], "name"), "types": (t["struct_type"], "name"), "typed globals": (typed, "name"), "aliases": (t["macro_alias"], "name")}
+        out = None
+        for label, (df, key) in parts.items():
+            one = df.agg(F.countDistinct(key).alias("n")).select(F.lit(label).alias("label"), "n")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def impact(self, symbol: str, depth: int = 4) -> Impact:
         return Impact(self, symbol, depth)
 

@@ -20,6 +20,15 @@ def file_name(symbol: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", symbol).strip("_") or "symbol"
 
 
+def metrics(i: Impact) -> DataFrame:
+    """label, n: how much an impact holds."""
+    out = None
+    for label in ("declarations", "accesses", "risks", "unresolved"):
+        one = getattr(i, label).agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def cited(i: Impact, most: int) -> DataFrame:
     """code, places: the first places that speak for each risk, at most `most`."""
     spots = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "file", "line").alias("spot"))))
@@ -59,7 +68,7 @@ def html(i: Impact) -> str:
     """A page with counts, nodes and edges."""
     nodes, edges = i.nodes().orderBy("kind", "id"), i.edges().orderBy("src", "dst", "label")
     safe = lambda df: df.select(*[escape_html(F.col(c).cast("string")).alias(c) for c in df.columns]).collect()
-    counts = {"declarations": i.declarations.count(), "accesses": i.accesses.count(), "risks": i.risks.count(), "unresolved": i.unresolved.count()}
+    counts = {r["label"]: r["n"] for r in metrics(i).collect()}
     title = i.symbol.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     cards = "".join(f'<div class="metric"><b>{v}</b> {k}</div>' for k, v in counts.items())
     table = lambda head, rows: f"<table><tr>{''.join(f'<th>{h}</th>' for h in head)}</tr>{''.join('<tr>' + ''.join(f'<td>{c}</td>' for c in r) + '</tr>' for r in rows)}</table>"

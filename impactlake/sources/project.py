@@ -98,12 +98,15 @@ def read(path: str, how: str = "auto") -> list[str]:
         return re.split(r"\r?\n", decode(f.read(), how)[0])
 
 
+def projects_in(lines: list[str], base: str) -> list[str]:
+    """Project files that a workspace's lines name."""
+    named = [path_value(m[1], " - ") for line in lines if (m := _PROJECT.match(line))]
+    return list(dict.fromkeys(resolve(base, n) for n in named if n.lower().endswith(".dsp")))
+
+
 def projects_of(workspace: str, how: str = "auto") -> list[str]:
     """Project files that a workspace names, or the one of its own name."""
-    base = os.path.dirname(workspace)
-    named = [path_value(m[1], " - ") for line in read(workspace, how) if (m := _PROJECT.match(line))]
-    found = [resolve(base, n) for n in named if n.lower().endswith(".dsp")]
-    return list(dict.fromkeys(found)) or [os.path.splitext(workspace)[0] + ".dsp"]
+    return projects_in(read(workspace, how), os.path.dirname(workspace)) or [os.path.splitext(workspace)[0] + ".dsp"]
 
 
 def is_excluded(path: str, globs) -> bool:
@@ -111,9 +114,8 @@ def is_excluded(path: str, globs) -> bool:
     return any(n in low for n in map(needle, globs) if n)
 
 
-def parse_project(path: str, root: str, exclude=(), how: str = "auto", wanted: str = "Release") -> tuple[set[str], set[str], set[str]]:
-    """Sources that exist, include paths and macros of one project file. Paths of sources go from its folder, include paths from the root."""
-    lines = read(path, how)
+def parse_lines(lines: list[str], folder: str, root: str, exclude=(), wanted: str = "Release") -> tuple[set[str], set[str], set[str]]:
+    """Sources, include paths and macros that a project file's lines name. Paths of sources go from its folder, include paths from the root."""
     sources: dict[str, None] = {}
     include, macros = set(), set()
     inside, current = False, None
@@ -122,7 +124,7 @@ def parse_project(path: str, root: str, exclude=(), how: str = "auto", wanted: s
             inside, current = block[1].lower() == "begin", None
         elif m := re.match(r"SOURCE=(.+)$", line, re.I):
             value = path_value(m[1])
-            full = resolve(os.path.dirname(path), value) if value else ""
+            full = resolve(folder, value) if value else ""
             if full and os.path.splitext(full)[1].lower() in SOURCE_EXTENSIONS and not is_excluded(full, exclude):
                 sources[full] = None
                 current = full if inside else None
@@ -132,6 +134,12 @@ def parse_project(path: str, root: str, exclude=(), how: str = "auto", wanted: s
             ws = words(line)
             include.update(resolve(root, v) for v in switches(ws, "I"))
             macros.update(switches(ws, "D"))
+    return set(sources), include, macros
+
+
+def parse_project(path: str, root: str, exclude=(), how: str = "auto", wanted: str = "Release") -> tuple[set[str], set[str], set[str]]:
+    """Sources that exist, include paths and macros of one project file."""
+    sources, include, macros = parse_lines(read(path, how), os.path.dirname(path), root, exclude, wanted)
     return {s for s in sources if os.path.isfile(s)}, include, macros
 
 
