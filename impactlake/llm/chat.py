@@ -169,6 +169,7 @@ def with_probe(rows: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """What every formatted conversation, and the probe, say when they are read back."""
     from .common import table
 
     return digest(format_chats(with_probe(table(spark, sf_dir, "conversations"))))

@@ -238,7 +238,11 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
-    """The rows with each stretch of text that spans cover replaced by the mark; overlapping spans share one."""
+    """The rows with each stretch of text that spans cover replaced by the mark; overlapping spans share one.
+
+    A null text stays null and an empty one empty; a text of any length is read whole. Repeated rows are redacted alike, all columns stay, whatever their
+    names, and an empty table gives an empty one.
+    """
     name = fresh(docs, "spans")["spans"]
     found = scan(docs, rules)
     text = F.col("text")
@@ -257,6 +261,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))

@@ -194,6 +194,172 @@ def test_mix_meets_its_targets(spark, prose):
     assert mixing.assign(df.limit(0)).count() == 0
 
 
+def test_thresholds_equal_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1) + 1)), rng.choice(["x", "y", "y", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    col = mixing._keys(df, "text", "source", ["doc_id"], 5)
+    keys = df.select(*[c.alias(n) for n, c in col.items()])
+    groups = keys.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).withColumn("quota", F.col("words") * 0.37)
+    got = {(r["source"], r["class"]): r for r in mixing._thresholds(keys, groups).collect()}
+    members, spare, short = {}, {}, Counter()
+    for r in keys.collect():
+        members.setdefault((r["source"], r["class"]), []).append((r["hash"], r["size"]))
+    taken = {}
+    for (source, c), docs in members.items():
+        quota, total, stopped = 0.37 * sum(n for _, n in docs), 0, False
+        for h, n in sorted(docs):
+            stopped = stopped or total + n > quota
+            if not stopped:
+                total += n
+                taken.setdefault((source, c), set()).add(h)
+        short[source] += quota - total
+    drawn = {g: {h for h, _ in docs if h < got[g]["below"] or h in got[g]["besides"]} for g, docs in members.items()}
+    for g, docs in members.items():
+        assert taken.get(g, set()) <= drawn[g]  # all below the border, and what fills the rest besides
+        assert sum(n for h, n in docs if h in drawn[g]) == got[g]["got"]
+    for source in {s for s, _ in members}:
+        left = short[source] - sum(n for g, docs in members.items() if g[0] == source for h, n in docs if h in drawn[g] - taken.get(g, set()))
+        assert 0 <= left < 1
+
+
+def test_more_sources_than_documents_have_words(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.concat(F.lit("s"), "id").alias("source"))
+    plan = mixing.make_plan(docs)
+    out = mixing.assign(docs, plan)
+    r = out.agg(F.sum("source_size").alias("all"), F.sum("target").alias("target"), F.sum(F.col("size") * F.size("draws")).alias("taken"), F.max(F.size("draws")).alias("most")).first()
+    assert r["all"] == 90_000 and r["target"] == pytest.approx(135_000) and r["most"] <= 2 and 90_000 <= r["taken"] <= 135_000
+    shards = out.select(F.explode("draws").alias("d")).groupBy("d.shard").count().collect()
+    assert {r["shard"] for r in shards} <= set(range(plan.shards))
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    rows = docs.where("text IS NOT NULL").limit(25).collect()
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(rows, docs.schema), model).collect()}
+    for r in rows:
+        tf, n = langid.counts([r["text"]])
+        v = {i: np.log1p(float(c)) * float(model.idf[i]) for i, c in enumerate(tf[0]) if c}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * float(centre[i]) for i, x in v.items()) / norm if norm else 0.0 for centre in model.centroids]
+        best = int(np.argmax(cosines)) if n[0] else -1
+        out = got[r["doc_id"]]
+        assert out["lang_pred"] == (model.langs[best] if n[0] else "und")
+        assert out["score"] == pytest.approx(min(max(cosines[best], 0), 1) if n[0] else 0.0, abs=1e-4)
+        assert out["rejected"] == (not n[0] or 1 - cosines[best] > model.radius[best])
+
+
+def test_frequencies_cover_all_rows(spark):
+    texts = ["ab", "ab cd", "", None, "12"] * 50
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
+    held, n = langid.frequencies(df, "t")
+    tf, letters = langid.counts([t or "" for t in texts])
+    assert n == (letters > 0).sum() and (held == (tf > 0).sum(axis=0)).all()
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the quick brown fox jumps over", "en") for i in range(4000)] + [(9000, "żółw źdźbło świeca", "pl")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert set(model.langs) == {"en", "pl"}
+
+
+def naive_score(model, text):
+    words = WORD.findall(text)
+    n = len(words)
+    p = []
+    if n:
+        own = [model.of_words([w])[0] for w in words]
+        u = [own[i][0] + (own[i - 1][1] if i else 0) + (own[i + 1][1] if i + 1 < n else 0) for i in range(n)]
+        e = [np.array([1.0, np.exp(np.clip(x, -30, 30))]) for x in u]
+        t = np.exp(model.trans)
+        a, b = [np.exp(model.start) * e[0]], [np.ones(2)]
+        for k in range(1, n):
+            a.append((a[-1] / a[-1].sum()) @ t * e[k])
+        for k in range(n - 1, 0, -1):
+            b.append(t @ (e[k] * b[-1] / b[-1].sum()))
+        b = b[::-1]
+        p = [float((x * y)[1] / (x * y).sum()) for x, y in zip(a, b)]
+    x = [1.0, max(p, default=0.0), np.log1p(sum(q for q in p if q > 0.5))]
+    return 1 / (1 + np.exp(-float(np.dot(x, model.curve))))
+
+
+def test_toxicity_scores_equal_brute_force(spark, prose):
+    bad = ["zarkle", "grotz"]
+    texts = [" ".join(prose(k, 40) + ([bad[k % 2]] * (k % 3) if k % 2 else [])) for k in range(160)]
+    model = toxicity.fit(texts, [int(k % 2 and k % 3 > 0) for k in range(160)])
+    asked = [(k, t) for k, t in enumerate(texts[:40])] + [(50, None), (51, ""), (52, " ".join(prose(3, 900) + ["zarkle"])), (53, texts[1]), (53, texts[1])]
+    df = spark.createDataFrame(asked, "doc_id long, text string")
+    for r in toxicity.score(df, model, spans=False).collect():
+        assert r["tox_score"] == pytest.approx(naive_score(model, r["text"] or ""), abs=1e-9)
+    assert toxicity.score(df, model).count() == len(asked) and toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_marginals_do_not_depend_on_blocks():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 700, 1, 128, 129, 3000])
+    unary, trans, start = rng.normal(size=int(sizes.sum())), rng.normal(size=(2, 2)), rng.normal(size=2)
+    whole = toxicity.marginals(unary, sizes, trans, start, 10_000)
+    for block in (1, 3, 17):
+        assert np.allclose(toxicity.marginals(unary, sizes, trans, start, block), whole)
+
+
+def test_quality_of_odd_rows(spark):
+    trees = quality.boost(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    text = "word " * 300_000
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b", 5), (3, "a b", 5), (4, text, 5)], "doc_id long, text string, n_words int")
+    out = quality.judge(df, trees)
+    assert out.columns[:4] == ["doc_id", "text", "n_words", "_n_words"]
+    got = sorted((r["doc_id"], r["_n_words"], r["base_failed"], r["kept"]) for r in out.collect())
+    assert got == [(1, 0, True, False), (2, 0, True, False), (3, 2, True, False), (3, 2, True, False), (4, 300_000, True, False)]
+    assert quality.judge(df.limit(0), trees).count() == 0
+
+
+def test_pipeline_runs_end_to_end(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~held_out(F.col("doc_id")))
+    model = toxicity.train(docs, labels)
+    clean = [r for r in docs.collect() if naive_score(model, r["text"] or "") < toxicity.THRESHOLD]
+
+    def bag(text):
+        w = WORD.findall(text or "")
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+    bags = [bag(r["text"]) for r in clean]
+    root = list(range(len(clean)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(clean)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both and both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
+                a, b = find(i), find(j)
+                if a != b:
+                    first = min((a, b), key=lambda k: clean[k]["doc_id"])
+                    root[a] = root[b] = first
+    kept = {clean[find(i)]["doc_id"] if bags[i] else clean[i]["doc_id"] for i in range(len(clean))}
+    out = corpus_pipeline.run(spark, sf).collect()
+    drawn = Counter(r["doc_id"] for r in out)
+    assert set(drawn) <= kept and max(drawn.values()) <= 2 and all(r["round_trip"] for r in out)
+    # The mix: each source's words come near its target, which brute force gives from what is kept.
+    sizes = Counter()
+    text_of = {r["doc_id"]: r for r in clean}
+    for k in kept:
+        sizes[text_of[k]["source"]] += len(WORD.findall(text_of[k]["text"] or ""))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, targets([sizes[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])))
+    taken = Counter()
+    for k, n in drawn.items():
+        taken[text_of[k]["source"]] += n * len(WORD.findall(text_of[k]["text"] or ""))
+    for n in names:
+        assert abs(taken[n] - want[n]) <= max(30, 0.1 * want[n]), n
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300")
     names = [n for n, _ in corpus_pipeline.STAGES]

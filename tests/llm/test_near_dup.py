@@ -162,3 +162,71 @@ def test_links_do_not_depend_on_the_session_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("kind, labels", [("int", [-1, -2]), ("string", ["", "a"]), ("boolean", [True, False]), ("double", [0.5, -0.5])])
+def test_labels_of_any_kind_keep_apart(spark, kind, labels):
+    rng = np.random.default_rng(8)
+    v = [float(x) for x in rng.standard_normal(16)]
+    near = [x + 0.01 for x in v]
+    rows = [(1, v, labels[0]), (2, v, labels[1]), (3, near, labels[0]), (3, near, labels[0]), (4, near, None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.8])
+def test_sorted_passes_find_links_of_a_large_label(spark, cosine):
+    x = dense_label(2500, cosine, 400, 2).astype(np.float32).astype(float)
+    near, _ = brute_force(x)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())] + [(9000 + i, x[i].tolist(), 2) for i in range(5)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, window=256).collect()}
+    found = sum(got[i][0] for i in range(len(x)))
+    assert 0.98 * near.sum() <= found <= near.sum()
+    assert all(got[i][0] <= near[i].sum() for i in range(len(x))) and all(got[9000 + i] == (0, 9000 + i) for i in range(5))
+
+
+def test_crowded_labels_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PASSES", 1)
+    monkeypatch.setattr(embedding_dedup, "MOST_PASSES", 1)
+    x = dense_label(1500, 0.85, 300, 5).astype(np.float32).astype(float)
+    near, want = brute_force(x)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, window=32).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+
+
+def test_large_open_buckets_are_cut_into_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    own = [rng.integers(0, 2**32, 50, dtype=np.uint32) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        sig = own[i % 3].copy()
+        sig[rng.integers(0, 50, 5)] = 7
+        rows.append((77, bytes([i]), sig.tobytes()))
+    df = spark.createDataFrame(rows, "bk long, th binary, sig binary")
+    linked = {}
+    for pack in (1000, 16):
+        monkeypatch.setattr(minhash, "PACK", pack)
+        edges = [(r["a"][0], r["b"][0]) for r in minhash.maybe_edges(df).collect()]
+        linked[pack] = groups(120, edges)
+    assert linked[1000] == linked[16] == [i % 3 for i in range(120)]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from impactlake.llm import components as module
+
+    monkeypatch.setattr(module, "LEAST_HUB", 5)
+    monkeypatch.setattr(module, "HUBS", 50)
+    edges = [(0, x) for x in range(1, 200)] + [(999, x) for x in range(400, 600)] + [(x, x + 1) for x in range(700, 720)] + [(150, 450)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = groups(1000, edges)
+    assert got == {x: want[x] for e in edges for x in e}
+
+
+def test_classes_of_very_long_texts(spark, prose):
+    base = prose(5, 60_000)
+    other = list(base)
+    other[100] = "changed"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(prose(6, 60_000)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()} == {1: 1, 2: 1, 3: 3}
