@@ -132,3 +132,61 @@ def test_stream_keeps_the_index(spark, root, tmp_path):
     q = follow(spark, f"{root}/app", str(tmp_path / "cp"), path, lambda: corpus.scan(spark, f"{root}/app"), threads)
     q.awaitTermination(120)
     assert store.load(spark, path).function.count() == 1
+
+
+def test_all_settings():
+    s = settings.Settings.of({"depth": 99, "batch_files": 0, "project_encoding": "Shift_JIS", "index_path": " x ", "exclude": ["a"], "thread_map": ""})
+    assert (s.depth, s.batch_files, s.project_encoding, s.index_path, s.exclude, s.thread_map, s.configuration) == (20, 1, "cp932", "x", ("a",), "", "Release")
+    assert s.index_folder("/r") == "/r/x" and settings.Settings().index_folder("/r").startswith("/r/")
+    assert len(settings.Settings.__dataclass_fields__) == 14
+    with pytest.raises(ValueError):
+        settings.Settings.of({"colour": 1})
+
+
+def test_skips_after_failures(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+
+    def run(df):
+        bad = sorted({r["path"] for r in df.collect()} & {"a", "c"})
+        if bad:
+            raise MemoryError(bad[0])
+        return df.count()
+
+    left, skipped = store.with_skips(run, files, lambda e: str(e))
+    assert left == 1 and {r["path"] for r in skipped.collect()} == {"a", "c"}
+    with pytest.raises(MemoryError):
+        store.with_skips(run, files, lambda e: str(e), most=1)
+    with pytest.raises(MemoryError):
+        store.with_skips(run, files, lambda e: None)
+
+
+@pytest.mark.parametrize("kind", ["ring", "stress", "members"])
+def test_samples_from_the_command_line(spark, tmp_path, capsys, monkeypatch, kind):
+    from impactlake import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    folder = str(tmp_path / "code")
+    assert cli.main(["sample", kind, folder, "--files", "5"]) == 0
+    assert cli.main(["build", folder, "--thread-map", "threads.json"]) == 0
+    said = capsys.readouterr().out
+    assert "full-build" in said and '"label": "functions"' in said
+    symbol = {"ring": "ring_2", "stress": "stress_fn_2", "members": "state.counter"}[kind]
+    assert cli.main(["report", folder, symbol]) == 0
+    page = open(capsys.readouterr().out.split()[0]).read()
+    assert f"# Impact of {symbol}" in page and "main" in page
+    if kind == "members":
+        assert cli.main(["update", folder, "--thread-map", "threads.json"]) == 0
+        assert '"reason": null' in capsys.readouterr().out
+        assert cli.main(["scan-file", f"{folder}/src/members.c"]) == 0
+        assert "through_macro" in capsys.readouterr().out
+        with pytest.raises(FileExistsError):
+            cli.main(["sample", kind, folder])
+
+
+def test_sources_that_change_meanwhile(spark, root, tmp_path):
+    threads = spark.createDataFrame([], "thread_id string, entry_function string, is_interrupt_like boolean")
+    files = corpus.scan(spark, f"{root}/app", exclude=["never"])
+    moved = files.select("path", (files["size"] + 1).alias("size"), "mtime_ms")
+    with pytest.raises(RuntimeError):
+        store.update(spark, str(tmp_path / "i"), files, threads, signatures_now=lambda: moved)
+    assert store.update(spark, str(tmp_path / "i"), files, threads, signatures_now=lambda: files.select("path", "size", "mtime_ms"))[1].reason == "previous-index-missing"
