@@ -7,27 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Nodes with more neighbours than 1/HUBS of the edges, and than LEAST_HUB, are dealt to several tasks; there are fewer than 2 * HUBS of them.
-HUBS, LEAST_HUB = 2000, 500
-
-
-def _with_least(pairs: DataFrame, most: int) -> DataFrame:
-    """pairs (u, v) with m, the least of their u's v; a hub's pairs are spread by a salt, and its row is repeated for each one."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = cut(least.where(F.col("n") > most))  # fewer than 2 * HUBS rows, as degrees sum to twice the edges
-    if hubs.isEmpty():
-        return pairs.join(least, "u").select("u", "v", "m")
-    salts = F.ceil(F.col("n") / F.lit(most)).cast("int")
-    salted = pairs.join(F.broadcast(hubs.select("u", salts.alias("salts"))), "u", "left").select("u", "v", F.pmod(F.hash("v"), F.coalesce("salts", F.lit(1))).alias("salt"))
-    each = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias("salt"))
-    return salted.join(each, ["u", "salt"]).select("u", "v", "m")
-
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of the edges (a, b): root is the smallest node of its component.
 
     Large-star and small-star steps in turn pull nodes to smaller neighbours until nothing changes, in about the square
-    of the diameter's logarithm of rounds. Each round's edges are written to the shared folder, so lineage stays short
+    of the diameter's logarithm of rounds. Edges are kept once, from the larger node (u) to the smaller (v); a node without a smaller
+    neighbour, as the root of a finished star is, has no row in what others are joined with, so that this shrinks to what still moves and is broadcast in the
+    end; before, Spark splits the rows of a hub. Each round's edges are written to the shared folder, so lineage stays short
     and lost executors cost one round at most. Loops, repeated edges and edges with a null end are left out.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
@@ -37,12 +24,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == (now["n"], now["s"]) or not now["n"]:
             break
         seen = now["n"], now["s"]
-        most = max(LEAST_HUB, now["n"] // HUBS)
-        star = _with_least(e.union(e.select("v", "u")), most).withColumn("m", F.least("u", "m"))
-        large = star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        told = _with_least(large, most)
-        small = told.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(told.where("v = m").select("u", "m"))
+        least = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = e.join(least, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         e = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError("components did not settle")

@@ -213,11 +213,7 @@ def test_large_open_buckets_are_cut_into_tiles(spark, monkeypatch):
     assert linked[1000] == linked[16] == [i % 3 for i in range(120)]
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    from impactlake.llm import components as module
-
-    monkeypatch.setattr(module, "LEAST_HUB", 5)
-    monkeypatch.setattr(module, "HUBS", 50)
+def test_components_with_hubs(spark):
     edges = [(0, x) for x in range(1, 200)] + [(999, x) for x in range(400, 600)] + [(x, x + 1) for x in range(700, 720)] + [(150, 450)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = groups(1000, edges)
