@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,10 @@ FACT = (
 )
 #: Bytes of declarations, and of headers' directives, up to which they are broadcast. Beyond, each file is joined with what it names.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of text, about, of a part in which files meet their contexts.
+PART_BYTES = 8 << 20
+#: The kinds of facts that tables are made of; tables of declarations are made of none.
+FACTS = {"access": "access", "access_index": "access", "unresolved": "unresolved", "call_edge": "call", "thread_reach": "call"}
 _NAMES = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -87,10 +93,30 @@ def with_headers(files: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFra
     return files.join(own, "path", "left"), {}
 
 
-def _headers_of(batch: pd.DataFrame, shared: dict[str, str]):
-    """Each row's headers: its own, where the files carry them."""
-    own = batch["headers"] if "headers" in batch else [None] * len(batch)
-    return [dict(h) if h is not None else shared for h in own]
+def _headers_of(file: dict, shared: dict[str, str]) -> dict[str, str]:
+    """A file's headers: its own, where the files carry them."""
+    own = file.get("headers")
+    return dict(own) if own is not None else shared
+
+
+#: Rows of a batch that a scan hands back.
+OUT_ROWS = 8192
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
+
+
+def _one_by_one(batches):
+    """The rows of Arrow batches as dicts; only one row at a time is turned into Python's objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
+def _batches(rows, schema: str):
+    """Arrow batches of OUT_ROWS tuples each, so that what a task holds goes with one file, not with a batch of files."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+    rows = iter(rows)
+    while some := list(islice(rows, OUT_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), fields)], schema=fields)
 
 
 def _carried(files: DataFrame, *columns: str) -> DataFrame:
@@ -101,25 +127,26 @@ def declare(files: DataFrame, macros: dict[str, str], headers: dict[str, str], i
     """Rows of DECLARED for files (path, ordinal, text); a file that fails gives one row that says why."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers))
 
+    def rows(path, ordinal, text, own_headers):
+        try:
+            raw, active = _lines(path, text or "", sent.value[0], own_headers, include_paths)
+            found = declarations.functions(raw, active)
+            parts = [("macro", d) for d in declarations.macros(raw, active)] + [("type", d) for d in declarations.types(raw, active)]
+            parts += [("global", d) for d in declarations.globals_(active, [(f.start_line, f.end_line) for f in found])]
+            parts += [("function", {"name": f.name, "line": f.start_line, "end_line": f.end_line, "signature": f.signature}) for f in found]
+            parts += [("template", {"name": f.name, "line": f.start_line, **t}) for f in found for t in accesses.templates(f)]
+            parts += [("include", {"name": n, "line": 0, "quoted": q}) for n, q in preprocess.includes(raw, active)]
+        except Exception as e:  # noqa: BLE001  one bad file is told, the others go on
+            yield path, ordinal, "skipped", None, 0, None, f"{type(e).__name__}: {e}"[:500]
+            return
+        for kind, d in parts:
+            yield path, ordinal, kind, d["name"], d["line"], json.dumps(d), None
+
     def run(batches):
-        own_macros, shared = sent.value
-        for batch in batches:
-            rows = []
-            for path, ordinal, text, own_headers in zip(batch["path"], batch["ordinal"], batch["text"], _headers_of(batch, shared)):
-                try:
-                    raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
-                    found = declarations.functions(raw, active)
-                    parts = [("macro", d) for d in declarations.macros(raw, active)] + [("type", d) for d in declarations.types(raw, active)]
-                    parts += [("global", d) for d in declarations.globals_(active, [(f.start_line, f.end_line) for f in found])]
-                    parts += [("function", {"name": f.name, "line": f.start_line, "end_line": f.end_line, "signature": f.signature}) for f in found]
-                    parts += [("template", {"name": f.name, "line": f.start_line, **t}) for f in found for t in accesses.templates(f)]
-                    parts += [("include", {"name": n, "line": 0, "quoted": q}) for n, q in preprocess.includes(raw, active)]
-                    rows += [(path, ordinal, kind, d["name"], d["line"], json.dumps(d), None) for kind, d in parts]
-                except Exception as e:  # noqa: BLE001  one bad file is told, the others go on
-                    rows.append((path, ordinal, "skipped", None, 0, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "kind", "name", "line", "body", "skipped"])
-
-    return _carried(files, "path", "ordinal", "text").mapInPandas(run, DECLARED)
+        files = ((f["path"], f["ordinal"], f["text"], _headers_of(f, sent.value[1])) for f in _one_by_one(batches))
+        yield from _batches((r for f in files for r in rows(*f)), DECLARED)
+
+    return _carried(files, "path", "ordinal", "text").mapInArrow(run, DECLARED)
 
 
 _PART = r"[A-Za-z_]\w*(?:\s*\[[^\]]+\])?"
@@ -168,16 +195,16 @@ def macro_aliases(macro_def: DataFrame, global_var: DataFrame, member_symbol: Da
     return told.where(~(F.col("is_function_like") & (F.col("target_kind") == "unknown")))
 
 
-def context_from(rows, dialect: str = "primary") -> accesses.Context:
-    """A context from declarations (kind, ordinal, path, line, body); the first of a name wins, in file order and then by line."""
+def context_from(rows, dialect: str = "primary", first: dict[str, dict] | None = None) -> accesses.Context:
+    """A context from declarations (kind, ordinal, path, line, rank, body); the first of a name wins, in file order, then by line and rank. first: the globals, where they are told apart already."""
     by: dict[str, list[dict]] = {"macro": [], "type": [], "global": [], "function": [], "template": []}
-    for kind, _, _, _, body in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0], r[4])):
-        by[kind].append(json.loads(body))
+    for kind, *_, body in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[0], r[4])):
+        by[kind].append(body)
     types: dict[str, dict] = {}
     for t in by["type"]:
         for n in [t["name"], *t["aliases"]]:
             types.setdefault(n, t)
-    first: dict[str, dict] = {}
+    first = dict(first or {})
     for g in by["global"]:
         first.setdefault(g["name"], g)
     simple: dict[str, list[str]] = {}
@@ -193,53 +220,86 @@ def context_from(rows, dialect: str = "primary") -> accesses.Context:
     return ctx
 
 
-def with_context(files: DataFrame, declared: DataFrame) -> DataFrame:
-    """The files with a column, context, of the declarations that each names, and of those that these name in turn.
+def _entries(declared: DataFrame) -> DataFrame:
+    """keys, refs, entry of what contexts are made of: the names it goes by, the names it may lead to, and itself as JSON, [[kind, path], ordinal, line, body].
 
-    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, round by round
-    until no file gets a new one.
+    Of functions and globals, which are many, only the first of a name is kept, with what a walk asks for; they lead to nothing but a global's type.
     """
-    own = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template"))
-    entry = F.struct("kind", "ordinal", "path", "line", "body")
+    said = "ordinal", "path", "line", "body"
+    many = declared.where(F.col("kind").isin("function", "global")).groupBy("kind", "name").agg(F.min(F.struct(*said)).alias("m")).select("kind", "name", "m.*")
+    g = F.from_json("body", "name string, type_name string, is_array boolean, pointer_level int")
+    known = F.when(F.col("kind") == "global", F.to_json(g, {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("name")))
+    simple = F.array_distinct(F.array(F.substring_index("name", "::", -1), F.col("name")))
+    many = many.select("kind", *said[:3], known.alias("body"), simple.alias("keys"), F.when(F.col("kind") == "global", F.array_compact(F.array(g["type_name"]))).otherwise(F.array().cast("array<string>")).alias("refs"))
     inner = F.from_json("body", "aliases array<string>, members array<struct<name:string>>")
-    names = F.array_distinct(F.concat(F.array(F.substring_index("name", "::", -1), F.col("name")), F.coalesce(inner["aliases"], F.array().cast("array<string>")), F.coalesce(inner["members"]["name"], F.array().cast("array<string>"))))
-    keyed = cut(own.select(F.explode(names).alias("key"), entry.alias("entry"), F.xxhash64("kind", "path", "line", "body").alias("id")).distinct())
-    need = cut(files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0)))).alias("key")).join(keyed, "key").select("path", "id", "entry").distinct())
-    front = need
-    while not front.isEmpty():
-        further = front.select("path", F.explode(F.array_distinct(F.regexp_extract_all("entry.body", F.lit(_NAMES), F.lit(0)))).alias("key")).distinct()
-        front = cut(further.join(keyed, "key").select("path", "id", "entry").distinct().join(need, ["path", "id"], "left_anti"))
-        need = cut(need.unionByName(front))
-    return files.join(need.groupBy("path").agg(F.collect_list("entry").alias("context")), "path", "left")
+    names = F.array_distinct(F.concat(simple, *[F.coalesce(c, F.array().cast("array<string>")) for c in (inner["aliases"], inner["members"]["name"])]))
+    few = declared.where(F.col("kind").isin("macro", "type", "template")).select("kind", *said, names.alias("keys"), F.array_distinct(F.regexp_extract_all("body", F.lit(_NAMES), F.lit(0))).alias("refs"))
+    place = F.to_json(F.array("kind", "path"))
+    entry = F.concat(F.lit("["), place, F.lit(","), F.coalesce(F.col("ordinal").cast("string"), F.lit("null")), F.lit(","), F.col("line").cast("string"), F.lit(","), "body", F.lit("]"))
+    return many.unionByName(few).select("keys", "refs", entry.alias("entry"))
+
+
+def with_context(files: DataFrame, declared: DataFrame, parts: int) -> DataFrame:
+    """The files with a column, context: a JSON array of the declarations that each names, and of those that these name in turn.
+
+    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, dealt to so many parts. What leads where is joined once for
+    the code base; files follow it round by round until none gets a new declaration, and without a round where nothing leads on.
+    """
+    entries = cut(_entries(declared))
+    own = F.xxhash64("entry").alias("id")
+    keyed = entries.select(F.explode("keys").alias("key"), own)
+    links = cut(entries.where(F.size("refs") > 0).select(own, F.explode("refs").alias("key")).join(keyed.withColumnRenamed("id", "to"), "key").where("id <> to").select("id", "to").distinct())
+    named = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0)))).alias("key")).repartition(parts, "key")
+    need = named.join(entries.select(F.explode("keys").alias("key"), "entry").repartition(parts, "key"), "key").select("path", "entry")
+    if not links.isEmpty():
+        need = cut(need)
+        ends = links.select("id").union(links.select(F.col("to").alias("id"))).distinct()
+        seen = front = cut(need.select("path", own).join(ends, "id", "left_semi").distinct())
+        start = seen
+        while not front.isEmpty():
+            front = cut(front.join(links, "id").select("path", F.col("to").alias("id")).distinct().join(seen, ["path", "id"], "left_anti"))
+            seen = cut(seen.unionByName(front))
+        need = need.unionByName(seen.join(start, ["path", "id"], "left_anti").join(entries.select(own, "entry"), "id").select("path", "entry"))
+    context = need.repartition(parts, "path").groupBy("path").agg(F.collect_set("entry").alias("entries")).select("path", F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]")).alias("context"))
+    return files.repartition(parts, "path").join(context, "path", "left")
+
+
+def _carried_context(text: str | None, dialect: str) -> accesses.Context:
+    """The context that a file carries."""
+    globals_, rest = {}, []
+    for (kind, path), ordinal, line, body in json.loads(text or "[]"):
+        if kind == "global":
+            globals_[body["name"]] = body
+        else:
+            rest.append((kind, ordinal, path, line, json.dumps(body) if kind == "template" else body["name"], body))
+    return context_from(rest, dialect, globals_)
 
 
-def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary", include_paths: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of FACT: accesses, calls and unresolved evidence of every function. Without ctx the files carry their context."""
+def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str], headers: dict[str, str], dialect: str = "primary", include_paths: tuple[str, ...] = (), kinds: tuple[str, ...] = ("access", "unresolved", "call")) -> DataFrame:
+    """Rows of FACT: accesses, calls and unresolved evidence of every function, as far as kinds ask for them, and the files that failed. Without ctx the files carry their context."""
     sent = files.sparkSession.sparkContext.broadcast((macros, headers, ctx))
-    columns = [c.split()[0] for c in FACT.split(", ")]
+
+    def rows(path, text, own_headers, context):
+        own_macros, _, whole = sent.value
+        try:
+            context = whole or _carried_context(context, dialect)
+            raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
+            for f in declarations.functions(raw, active):
+                w = accesses.Walk(f, context).run()
+                for r in w.rows if "access" in kinds else ():
+                    yield "access", f.name, r["seq"], r["variable_name"], r["target_name"], r["target_kind"], r["kind"], path, r["line"], r["evidence"], r["expanded_evidence"], r["reasons"], r["access_expression"], r["macro_names"]
+                for i, n in enumerate(w.notes if "unresolved" in kinds else ()):
+                    yield "unresolved", f.name, i, n["variable_name"], None, None, n["kind"], path, n["line"], n["evidence"], None, None, None, None
+                for c in sorted(w.called) if "call" in kinds else ():
+                    yield "call", f.name, None, None, c, None, None, path, None, None, None, None, None, None
+        except Exception as e:  # noqa: BLE001
+            yield "skipped", None, None, None, None, None, None, path, None, f"{type(e).__name__}: {e}"[:500], None, None, None, None
 
     def run(batches):
-        own_macros, shared, whole = sent.value
-        for batch in batches:
-            rows = []
-            carried = batch["context"] if whole is None else [None] * len(batch)
-            for path, text, own_headers, entries in zip(batch["path"], batch["text"], _headers_of(batch, shared), carried):
-                try:
-                    context = whole or context_from([(e["kind"], e["ordinal"], e["path"], e["line"], e["body"]) for e in (entries if entries is not None else [])], dialect)
-                    raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
-                    for f in declarations.functions(raw, active):
-                        w = accesses.Walk(f, context).run()
-                        rows += [{**r, "access": r["kind"], "kind": "access", "file": path} for r in w.rows]
-                        rows += [{**n, "access": n["kind"], "kind": "unresolved", "file": path, "seq": i} for i, n in enumerate(w.notes)]
-                        rows += [{"kind": "call", "function_name": f.name, "target_name": c, "file": path} for c in sorted(w.called)]
-                except Exception as e:  # noqa: BLE001
-                    rows.append({"kind": "skipped", "file": path, "evidence": f"{type(e).__name__}: {e}"[:500]})
-            frame = pd.DataFrame(rows, columns=columns)
-            for c in ("seq", "line"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame.astype(object).where(frame.notna(), None)
-
-    return _carried(files, "path", "text").mapInPandas(run, FACT)
+        files = ((f["path"], f["text"], _headers_of(f, sent.value[1]), f.get("context")) for f in _one_by_one(batches))
+        yield from _batches((r for f in files for r in rows(*f)), FACT)
+
+    return _carried(files, "path", "text").mapInArrow(run, FACT)
 
 
 @dataclass
@@ -256,11 +316,12 @@ class CodeIndex:
             raise AttributeError(name) from None
 
     @classmethod
-    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, dialect: str = "primary", include_paths: tuple[str, ...] = ()) -> CodeIndex:
+    def build(cls, files: DataFrame, threads: DataFrame, macros: dict[str, str] | None = None, path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, dialect: str = "primary", include_paths: tuple[str, ...] = (), only: str | None = None) -> CodeIndex:
         """files: path, text (and ordinal, else they go by their paths); threads: thread_id, entry_function, is_interrupt_like.
 
         Headers that conditional compilation needs are found among the files: beside the one that includes them, then in include_paths. All declarations are broadcast
         up to broadcast_bytes; a larger code base is joined file by file with what it names. With a path, all tables are written there.
+        With only, just the table of that name is to be used: what it does not need is not worked out, and its facts are not stored.
         """
         spark = files.sparkSession
         if "ordinal" not in files.columns:
@@ -268,12 +329,19 @@ class CodeIndex:
         macros = dict(macros or {})
         files, headers = with_headers(files, broadcast_bytes)
         declared = cut(declare(files, macros, headers, include_paths))
-        size = declared.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
-        if size <= broadcast_bytes:
-            rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "path", "line", "body").collect()
-            facts = cut(walk(files, context_from(map(tuple, rows), dialect), macros, headers, dialect, include_paths))
+        kinds = tuple(sorted(set(FACTS.values()))) if only is None else (FACTS[only],) if only in FACTS else ()
+        if only is not None and not kinds and only != "skipped_file":
+            facts = spark.createDataFrame([], FACT)
         else:
-            facts = cut(walk(with_context(files, declared), None, macros, headers, dialect, include_paths))
+            size = declared.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
+            if size <= broadcast_bytes:
+                rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "path", "line", "body", "body").collect()
+                ctx = context_from([(*r[:5], json.loads(r[5])) for r in rows], dialect)
+            else:
+                length = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+                files, ctx = with_context(files, declared, max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // PART_BYTES)), None
+            facts = walk(files, ctx, macros, headers, dialect, include_paths, kinds)
+            facts = cut(facts) if only is None or only == "thread_reach" else facts
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))
         members = "array<struct<name:string,member_type:string,is_array:boolean,pointer_level:int,line:int,declaration:string>>"
         types = body("type", f"name string, aliases array<string>, line int, declaration string, members {members}").select(F.col("path").alias("file"), "ordinal", "b.*")
@@ -298,7 +366,8 @@ class CodeIndex:
         owners = impact.keep_first(t["global_var"], ["name"], ["ordinal", "file", "line"]).join(typed.select("type_name"), "type_name", "left_semi")
         t["member_symbol"] = impact.member_expansion(owners.select("name", "type_name", "is_array", "pointer_level"), named)
         t["macro_alias"] = macro_aliases(t["macro_def"], t["global_var"], t["member_symbol"])
-        t["thread_reach"] = reachability(threads, t["call_edge"])
+        if only in (None, "thread_reach"):
+            t["thread_reach"] = reachability(threads, t["call_edge"])
         t["access_index"] = impact.inverted_index(t["access"])
         index = cls(spark, t)
         return index.save(path) if path else index
