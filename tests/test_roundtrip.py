@@ -59,3 +59,8 @@ def no_walk(*_, **__):
 def test_globals_come_without_a_walk(spark, duckdb_tables, monkeypatch):
     monkeypatch.setattr(index, "walk", no_walk)
     same(spark, contract.QUERIES["roundtrip_globals"], contract.ORACLE_SQL["roundtrip_globals"], duckdb_tables)
+
+
+def test_functions_come_without_a_walk(spark, duckdb_tables, monkeypatch):
+    monkeypatch.setattr(index, "walk", no_walk)
+    same(spark, contract.QUERIES["roundtrip_functions"], contract.ORACLE_SQL["roundtrip_functions"], duckdb_tables)
