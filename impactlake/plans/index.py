@@ -220,13 +220,19 @@ def context_from(rows, dialect: str = "primary", first: dict[str, dict] | None =
     return ctx
 
 
-def _entries(declared: DataFrame) -> DataFrame:
+def _entries(declared: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """keys, refs, entry of what contexts are made of: the names it goes by, the names it may lead to, and itself as JSON, [[kind, path], ordinal, line, body].
 
-    Of functions and globals, which are many, only the first of a name is kept, with what a walk asks for; they lead to nothing but a global's type.
+    Of functions and globals, which are many, only the first of a name is kept, with what a walk asks for; they lead to nothing but a global's type. A walk that
+    is not asked for calls needs those functions only that touch members through parameters, and one for calls alone those globals only that macros may stand for.
     """
     said = "ordinal", "path", "line", "body"
     many = declared.where(F.col("kind").isin("function", "global")).groupBy("kind", "name").agg(F.min(F.struct(*said)).alias("m")).select("kind", "name", "m.*")
+    if "call" not in kinds:
+        many = many.where("kind = 'global'").unionByName(many.where("kind = 'function'").join(declared.where("kind = 'template'").select("name").distinct(), "name", "left_semi"))
+    elif kinds == ("call",):
+        meant = declared.where("kind = 'macro'").select(F.explode(F.regexp_extract_all("body", F.lit(_NAMES), F.lit(0))).alias("name")).distinct()
+        many = many.where("kind = 'function'").unionByName(many.where("kind = 'global'").join(meant, "name", "left_semi"))
     g = F.from_json("body", "name string, type_name string, is_array boolean, pointer_level int")
     known = F.when(F.col("kind") == "global", F.to_json(g, {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("name")))
     simple = F.array_distinct(F.array(F.substring_index("name", "::", -1), F.col("name")))
@@ -239,13 +245,13 @@ def _entries(declared: DataFrame) -> DataFrame:
     return many.unionByName(few).select("keys", "refs", entry.alias("entry"))
 
 
-def with_context(files: DataFrame, declared: DataFrame, parts: int) -> DataFrame:
+def with_context(files: DataFrame, declared: DataFrame, parts: int, kinds: tuple[str, ...]) -> DataFrame:
     """The files with a column, context: a JSON array of the declarations that each names, and of those that these name in turn.
 
     No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, dealt to so many parts. What leads where is joined once for
     the code base; files follow it round by round until none gets a new declaration, and without a round where nothing leads on.
     """
-    entries = cut(_entries(declared))
+    entries = cut(_entries(declared, kinds))
     own = F.xxhash64("entry").alias("id")
     keyed = entries.select(F.explode("keys").alias("key"), own)
     links = cut(entries.where(F.size("refs") > 0).select(own, F.explode("refs").alias("key")).join(keyed.withColumnRenamed("id", "to"), "key").where("id <> to").select("id", "to").distinct())
@@ -285,7 +291,7 @@ def walk(files: DataFrame, ctx: accesses.Context | None, macros: dict[str, str],
             context = whole or _carried_context(context, dialect)
             raw, active = _lines(path, text or "", own_macros, own_headers, include_paths)
             for f in declarations.functions(raw, active):
-                w = accesses.Walk(f, context).run()
+                w = accesses.Walk(f, context).run(touches=kinds != ("call",))
                 for r in w.rows if "access" in kinds else ():
                     yield "access", f.name, r["seq"], r["variable_name"], r["target_name"], r["target_kind"], r["kind"], path, r["line"], r["evidence"], r["expanded_evidence"], r["reasons"], r["access_expression"], r["macro_names"]
                 for i, n in enumerate(w.notes if "unresolved" in kinds else ()):
@@ -339,7 +345,7 @@ class CodeIndex:
                 ctx = context_from([(*r[:5], json.loads(r[5])) for r in rows], dialect)
             else:
                 length = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-                files, ctx = with_context(files, declared, max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // PART_BYTES)), None
+                files, ctx = with_context(files, declared, max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // PART_BYTES), kinds), None
             facts = walk(files, ctx, macros, headers, dialect, include_paths, kinds)
             facts = cut(facts) if only is None or only == "thread_reach" else facts
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))

@@ -64,3 +64,19 @@ def test_globals_come_without_a_walk(spark, duckdb_tables, monkeypatch):
 def test_functions_come_without_a_walk(spark, duckdb_tables, monkeypatch):
     monkeypatch.setattr(index, "walk", no_walk)
     same(spark, contract.QUERIES["roundtrip_functions"], contract.ORACLE_SQL["roundtrip_functions"], duckdb_tables)
+
+
+@pytest.mark.parametrize("name", ["access", "unresolved", "call_edge"])
+def test_one_table_is_that_of_the_whole_index(spark, name):
+    from .test_scanner import MAIN, SHARED, rows
+
+    files = spark.createDataFrame([("p/shared.h", SHARED, 0), ("p/main.c", MAIN, 1)], "path string, text string, ordinal long")
+    threads = spark.createDataFrame([], "thread_id string, entry_function string, is_interrupt_like boolean")
+    whole, one = (index.CodeIndex.build(files, threads, {"USE_EXTRA": "", "LIMIT": "3"}, broadcast_bytes=b, only=only).tables[name] for b, only in ((1 << 20, None), (0, name)))
+    assert rows(one, *whole.columns) == rows(whole, *whole.columns) != []
+
+
+@pytest.mark.parametrize("broadcast_bytes", [index.BROADCAST_BYTES, 0])
+def test_accesses_of_large_customers(spark, duckdb_tables, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(index.CodeIndex.build.__func__, "__defaults__", tuple(broadcast_bytes if v == index.BROADCAST_BYTES else v for v in index.CodeIndex.build.__func__.__defaults__))
+    same(spark, contract.QUERIES["roundtrip_accesses"], contract.ORACLE_SQL["roundtrip_accesses"], duckdb_tables)
