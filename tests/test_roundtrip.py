@@ -80,3 +80,9 @@ def test_one_table_is_that_of_the_whole_index(spark, name):
 def test_accesses_of_large_customers(spark, duckdb_tables, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(index.CodeIndex.build.__func__, "__defaults__", tuple(broadcast_bytes if v == index.BROADCAST_BYTES else v for v in index.CodeIndex.build.__func__.__defaults__))
     same(spark, contract.QUERIES["roundtrip_accesses"], contract.ORACLE_SQL["roundtrip_accesses"], duckdb_tables)
+
+
+def test_calls_of_large_customers(spark, duckdb_tables, monkeypatch):
+    build = index.CodeIndex.build
+    monkeypatch.setattr(index.CodeIndex, "build", lambda *a, **b: build(*a, broadcast_bytes=0, **b))
+    same(spark, contract.QUERIES["roundtrip_calls"], contract.ORACLE_SQL["roundtrip_calls"], duckdb_tables)
