@@ -86,3 +86,9 @@ def test_calls_of_large_customers(spark, duckdb_tables, monkeypatch):
     build = index.CodeIndex.build
     monkeypatch.setattr(index.CodeIndex, "build", lambda *a, **b: build(*a, broadcast_bytes=0, **b))
     same(spark, contract.QUERIES["roundtrip_calls"], contract.ORACLE_SQL["roundtrip_calls"], duckdb_tables)
+
+
+def test_address_notes_of_large_customers(spark, duckdb_tables, monkeypatch):
+    build = index.CodeIndex.build
+    monkeypatch.setattr(index.CodeIndex, "build", lambda *a, **b: build(*a, broadcast_bytes=0, **b))
+    same(spark, contract.QUERIES["roundtrip_address_notes"], contract.ORACLE_SQL["roundtrip_address_notes"], duckdb_tables)
