@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A word runs from a space (or several) to the next; no piece crosses such a border.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Leading bits of a hash that name its bucket among the piece keys; few buckets hold more than one key.
+BUCKET_BITS = 18
 #: Longer words are merged one at a time with a heap, as a matrix round costs their length.
 MATRIX_CHARS = 48
 #: Words kept with their ids between batches; the cache is emptied beyond that.
@@ -81,6 +84,10 @@ class Codec:
         self.keys = keys[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
+        slots = np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)
+        starts = np.searchsorted(self.keys >> np.uint64(64 - BUCKET_BITS), slots)
+        self._end, self._shared = starts[1:], np.diff(starts) > 1
+        self._start = np.minimum(starts[:-1], max(len(normal) - 1, 0))
         self.ids = np.array(normal, np.int32)[order]
         self.scores = np.array([model.pieces[i].score for i in normal], np.float64)[order]
         self.unk_score = (self.scores.min() if len(normal) else 0.0) - 10.0
@@ -102,9 +109,16 @@ class Codec:
 
     def _probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position among the sorted piece keys, and whether the key is there."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return at, self.keys[at] == keys
+        slot = (keys >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+        at = self._start[slot]
+        there = self.keys[at] == keys
+        rest = np.flatnonzero(~there & self._shared[slot])
+        while len(rest):
+            at[rest] += 1
+            there[rest] = hit = self.keys[at[rest]] == keys[rest]
+            rest = rest[~hit]
+            rest = rest[at[rest] + 1 < self._end[slot[rest]]]
+        return at, there
 
     # Words ------------------------------------------------------------------------------------
     def _spell(self, text: str) -> list[int]:
@@ -333,6 +347,41 @@ class Codec:
         text = "".join(parts).replace(SPACE, " ")
         return text[1:] if self.dummy and text[:1] == " " else text
 
+    def decode_flat(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """decode() of texts whose ids stand end to end, where each one's begin in at (one more entry ends the last).
+
+        Pieces are joined as bytes. As pieces are whole characters, the bytes of a text are UTF-8 only where each of its byte runs is; other texts go one by one.
+        """
+        said, plain = self._said
+        n = len(self.pieces)
+        pick = ids.astype(np.int64)
+        first = at[:-1][at[:-1] < at[1:]]
+        single = np.zeros(len(at) - 1, bool)  # what their first id says depends on the ids after it
+        single[at[:-1] < at[1:]] = ~plain[ids[first]]
+        if self.dummy:
+            pick[first] += n
+        joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), said.take(pa.array(pick))), b"")
+        try:
+            texts = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            single[:] = True
+        if single.any():
+            own = [self.decode(ids[a:b].tolist()) if alone else None for a, b, alone in zip(at.tolist(), at[1:].tolist(), single)]
+            texts = pa.array(own, pa.string()) if single.all() else pa.compute.if_else(pa.array(single), pa.array(own, pa.string()), texts)
+        return pa.compute.replace_substring(texts, SPACE, " ") if (self.byte_of[ids] >= 0x80).any() else texts
+
+    @property
+    def _said(self) -> tuple[pa.Array, np.ndarray]:
+        """What each id says in bytes, then what each says at a text's start, where a dummy space goes; and which say that whatever follows."""
+        if not hasattr(self, "_said_table"):
+            texts = [b"" if i in self.control else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+            texts[self.unk] = " ⁇ ".encode()
+            for i in self.byte_ids.values():
+                texts[i] = bytes([self.byte_of[i]])
+            plain = np.array([bool(t) for t in texts]) & (self.byte_of < 0x80)
+            self._said_table = pa.array(texts + [t.removeprefix(b" ") for t in texts], pa.binary()), plain
+        return self._said_table
+
     @property
     def _bytes(self) -> list[int]:
         if not hasattr(self, "_byte_list"):
@@ -381,8 +430,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
                 columns = [part.column(part.schema.get_field_index(k)) for k in keep]
                 columns += [lists, pa.array(np.diff(at), pa.int64(), mask=nulls)]
                 if decode_too:
-                    whole, at = values.tolist(), at.tolist()
-                    columns.append(pa.array([None if t is None else c.decode(whole[x:y]) for t, x, y in zip(raw, at, at[1:])], pa.string()))
+                    decoded = c.decode_flat(values, at)
+                    columns.append(pa.compute.if_else(pa.array(nulls), pa.scalar(None, pa.string()), decoded) if nulls.any() else decoded)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         c.forget()
         give_back()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -33,6 +34,25 @@ def test_invalid_byte_runs_decode_like_the_library(library):
         assert c.decode(ids) == library.decode(ids)
 
 
+def test_texts_decoded_together_equal_each_alone(library):
+    c = Codec()
+    byte = {b: library.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+    valid = [c.encode(t) for t in FUZZ] + [[], [c.unk], [1], [1, *c.encode("a b")], [*c.encode("a"), 2, c.unk], [byte[0x20], byte[0x0A]], [byte[b] for b in b"\xe2\x96\x81z\xf0\x9f\x98\x80"]]
+    odd = [[byte[b] for b in run] for run in (b"\xff", b"\xe6\xbc", b"a\xe6\xbcz", b"\xed\xa0\x80", b"\xf0\x9f\x98\x80\xf0\x9f")] + [[*c.encode("a"), byte[0xE6], *c.encode("b")]]
+    for lists in (valid, valid + odd, [], [[]]):
+        at = np.cumsum([0, *map(len, lists)])
+        flat = np.array([i for ids in lists for i in ids], np.int32)
+        assert c.decode_flat(flat, at).to_pylist() == [c.decode(ids) for ids in lists]
+
+
+def test_lookup_finds_every_piece_and_nothing_else():
+    c = Codec()
+    at, there = c._probe(c.keys)
+    assert there.all() and (at == np.arange(len(c.keys))).all() and c._shared.any()
+    others = np.concatenate([c.keys ^ np.uint64(1), np.random.default_rng(1).integers(0, 1 << 64, 100_000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert (c._probe(others)[1] == np.isin(others, c.keys)).all()
+
+
 def best_score(text: str, scores: dict[str, float]) -> float:
     """Plain best path over all pieces of the text."""
     best = [0.0] + [float("-inf")] * len(text)
