@@ -30,8 +30,11 @@ FACT = (
 )
 #: Bytes of declarations, and of headers' directives, up to which they are broadcast. Beyond, each file is joined with what it names.
 BROADCAST_BYTES = 64 << 20
-#: Bytes of text, about, of a part in which files meet their contexts.
+#: Bytes of text, about, of a part in which names meet declarations.
 PART_BYTES = 8 << 20
+#: Bytes of text, about, of a part that a scan hands to Python as one Arrow batch, whose buffers double as they grow. A code base of up to WHOLE_BYTES is scanned as it is dealt.
+SCAN_BYTES = 4 << 20
+WHOLE_BYTES = 64 << 20
 #: The kinds of facts that tables are made of; tables of declarations are made of none.
 FACTS = {"access": "access", "access_index": "access", "unresolved": "unresolved", "call_edge": "call", "thread_reach": "call"}
 _NAMES = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -119,6 +122,16 @@ def _batches(rows, schema: str):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), fields)], schema=fields)
 
 
+def dealt(files: DataFrame) -> tuple[DataFrame, int]:
+    """The files, and the bytes of their texts. A large code base is dealt by path to parts of about SCAN_BYTES, so that what a task holds goes neither with the code base nor with the session's sizes of partitions."""
+    length = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return (files.repartition(_parts(files, length, SCAN_BYTES), "path") if length > WHOLE_BYTES else files), length
+
+
+def _parts(files: DataFrame, length: int, of: int) -> int:
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), length // of)
+
+
 def _carried(files: DataFrame, *columns: str) -> DataFrame:
     return files.select(*columns, *(c for c in ("headers", "context") if c in files.columns))
 
@@ -245,12 +258,13 @@ def _entries(declared: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return many.unionByName(few).select("keys", "refs", entry.alias("entry"))
 
 
-def with_context(files: DataFrame, declared: DataFrame, parts: int, kinds: tuple[str, ...]) -> DataFrame:
+def with_context(files: DataFrame, declared: DataFrame, length: int, kinds: tuple[str, ...]) -> DataFrame:
     """The files with a column, context: a JSON array of the declarations that each names, and of those that these name in turn.
 
-    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, dealt to so many parts. What leads where is joined once for
+    No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, dealt to parts by the length of all texts. What leads where is joined once for
     the code base; files follow it round by round until none gets a new declaration, and without a round where nothing leads on.
     """
+    parts = _parts(files, length, PART_BYTES)
     entries = cut(_entries(declared, kinds))
     own = F.xxhash64("entry").alias("id")
     keyed = entries.select(F.explode("keys").alias("key"), own)
@@ -334,6 +348,7 @@ class CodeIndex:
             files = files.withColumn("ordinal", F.lit(0).cast("long"))
         macros = dict(macros or {})
         files, headers = with_headers(files, broadcast_bytes)
+        files, length = dealt(files)
         declared = cut(declare(files, macros, headers, include_paths))
         kinds = tuple(sorted(set(FACTS.values()))) if only is None else (FACTS[only],) if only in FACTS else ()
         if only is not None and not kinds and only != "skipped_file":
@@ -344,8 +359,7 @@ class CodeIndex:
                 rows = declared.where(F.col("kind").isin("macro", "type", "global", "function", "template")).select("kind", "ordinal", "path", "line", "body", "body").collect()
                 ctx = context_from([(*r[:5], json.loads(r[5])) for r in rows], dialect)
             else:
-                length = files.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-                files, ctx = with_context(files, declared, max(int(spark.conf.get("spark.sql.shuffle.partitions")), length // PART_BYTES), kinds), None
+                files, ctx = with_context(files, declared, length, kinds), None
             facts = walk(files, ctx, macros, headers, dialect, include_paths, kinds)
             facts = cut(facts) if only is None or only == "thread_reach" else facts
         body = lambda kind, schema: declared.where(F.col("kind") == kind).select("path", "ordinal", F.from_json("body", schema).alias("b"))

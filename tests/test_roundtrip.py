@@ -92,3 +92,16 @@ def test_address_notes_of_large_customers(spark, duckdb_tables, monkeypatch):
     build = index.CodeIndex.build
     monkeypatch.setattr(index.CodeIndex, "build", lambda *a, **b: build(*a, broadcast_bytes=0, **b))
     same(spark, contract.QUERIES["roundtrip_address_notes"], contract.ORACLE_SQL["roundtrip_address_notes"], duckdb_tables)
+
+
+def texts(spark, n):
+    return spark.range(n).select(F.concat(F.lit("f"), "id", F.lit(".c")).alias("path"), F.repeat(F.lit("int g; "), 1000).alias("text")).coalesce(1)
+
+
+def test_scans_of_a_large_code_base_get_parts_of_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(index, "SCAN_BYTES", 50_000)
+    assert index.dealt(texts(spark, 100))[0].rdd.getNumPartitions() == 1  # small: left as it is
+    monkeypatch.setattr(index, "WHOLE_BYTES", 500_000)
+    files, length = index.dealt(texts(spark, 100))
+    assert length == 700_000 and files.rdd.getNumPartitions() == length // index.SCAN_BYTES
+    assert files.select("path").distinct().count() == 100
