@@ -264,7 +264,7 @@ def with_context(files: DataFrame, declared: DataFrame, length: int, kinds: tupl
     No file gets more than it can use, and nothing is broadcast: joins of identifiers with declared names, dealt to parts by the length of all texts. What leads where is joined once for
     the code base; files follow it round by round until none gets a new declaration, and without a round where nothing leads on.
     """
-    parts = _parts(files, length, PART_BYTES)
+    parts, scans = _parts(files, length, PART_BYTES), _parts(files, length, SCAN_BYTES)
     entries = cut(_entries(declared, kinds))
     own = F.xxhash64("entry").alias("id")
     keyed = entries.select(F.explode("keys").alias("key"), own)
@@ -280,8 +280,8 @@ def with_context(files: DataFrame, declared: DataFrame, length: int, kinds: tupl
             front = cut(front.join(links, "id").select("path", F.col("to").alias("id")).distinct().join(seen, ["path", "id"], "left_anti"))
             seen = cut(seen.unionByName(front))
         need = need.unionByName(seen.join(start, ["path", "id"], "left_anti").join(entries.select(own, "entry"), "id").select("path", "entry"))
-    context = need.repartition(parts, "path").groupBy("path").agg(F.collect_set("entry").alias("entries")).select("path", F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]")).alias("context"))
-    return files.repartition(parts, "path").join(context, "path", "left")
+    context = need.repartition(scans, "path").groupBy("path").agg(F.collect_set("entry").alias("entries")).select("path", F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]")).alias("context"))
+    return files.repartition(scans, "path").join(context, "path", "left")
 
 
 def _carried_context(text: str | None, dialect: str) -> accesses.Context:

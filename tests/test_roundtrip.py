@@ -105,3 +105,12 @@ def test_scans_of_a_large_code_base_get_parts_of_bounded_text(spark, monkeypatch
     files, length = index.dealt(texts(spark, 100))
     assert length == 700_000 and files.rdd.getNumPartitions() == length // index.SCAN_BYTES
     assert files.select("path").distinct().count() == 100
+
+
+def test_contexts_meet_files_in_parts_of_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(index, "SCAN_BYTES", 50_000)
+    files = texts(spark, 100)
+    declared = spark.createDataFrame([("f0.c", 0, "global", "g", 1, '{"name": "g", "type_name": "int", "is_array": false, "pointer_level": 0}', None)], index.DECLARED)
+    met = index.with_context(files, declared, 700_000, ("access",))
+    assert met.rdd.getNumPartitions() == 700_000 // index.SCAN_BYTES
+    assert met.where(F.col("context").contains('"g"')).count() == 100
