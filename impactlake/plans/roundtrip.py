@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut
 from .contract import query
-from .index import CodeIndex
+from .index import SCAN_BYTES, CodeIndex
 from .lifts import Lift
 
 #: Orders, and parts, of a file: 2 to this power. Larger tables render to more files, not to larger ones.
@@ -45,7 +45,7 @@ def render(t: Lift) -> DataFrame:
 def _table(t: Lift, name: str) -> DataFrame:
     """One table of the index of all that is rendered."""
     none = t.spark.createDataFrame([], "thread_id string, entry_function string, is_interrupt_like boolean")
-    return CodeIndex.build(cut(render(t)), none, only=name).tables[name]
+    return CodeIndex.build(cut(render(t), group_bytes=SCAN_BYTES), none, only=name).tables[name]
 
 
 _KIND = "CASE l_returnflag WHEN 'R' THEN 'write' WHEN 'A' THEN 'read' ELSE 'unknown' END"

@@ -36,8 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The rows written to the shared folder and read again: no lineage, and safe when executors are lost."""
+def cut(df: DataFrame, name: str = "cut", group_bytes: int | None = None) -> DataFrame:
+    """The rows written to the shared folder and read again: no lineage, and safe when executors are lost.
+
+    A reader holds up to 4,096 rows of a row group at once; where rows are long, group_bytes bounds the groups instead.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

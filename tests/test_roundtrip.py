@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from impactlake.plans import contract, index, roundtrip
 from impactlake.plans.lifts import Lift
+from impactlake.scratch import cut
 
 from .oracle import same
 
@@ -114,3 +115,16 @@ def test_contexts_meet_files_in_parts_of_bounded_text(spark, monkeypatch):
     met = index.with_context(files, declared, 700_000, ("access",))
     assert met.rdd.getNumPartitions() == 700_000 // index.SCAN_BYTES
     assert met.where(F.col("context").contains('"g"')).count() == 100
+
+
+def test_rendered_text_is_stored_in_bounded_row_groups(spark, tables, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    kept = []
+    monkeypatch.setattr(roundtrip, "SCAN_BYTES", 1 << 10)
+    monkeypatch.setattr(roundtrip, "cut", lambda df, **b: kept.append(cut(texts(spark, 400), **b)) or kept[0])
+    roundtrip._table(Lift(spark, tables), "function")
+    groups = [f.metadata.row_group(i).num_rows for path in glob.glob(kept[0].inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.parquet") for f in [pq.ParquetFile(path)] for i in range(f.num_row_groups)]
+    assert sum(groups) == 400 and max(groups) < 400
